@@ -1,0 +1,30 @@
+"""Queries of the operators in this package, named pN_... after their problem."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lorekeel.llm import boilerplate
+from lorekeel.session import read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each non-blank line of a body that isn't story."""
+    return boilerplate.boilerplate_lines(read_table(spark, sf_dir, "articles"))
+
+
+def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The story of each article."""
+    return boilerplate.main_text(read_table(spark, sf_dir, "articles"))
+
+
+def queries() -> dict[str, Query]:
+    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
