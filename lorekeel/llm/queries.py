@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeel.llm import boilerplate
+from lorekeel.llm import boilerplate, neardup
 from lorekeel.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_text(read_table(spark, sf_dir, "articles"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of articles whose stories share at least half of their runs of three words."""
+    return neardup.near_duplicate_pairs(read_table(spark, sf_dir, "articles"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per article: its class of equal stories and the number of near articles of other classes."""
+    return neardup.near_duplicate_groups(read_table(spark, sf_dir, "articles"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
