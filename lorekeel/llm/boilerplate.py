@@ -305,7 +305,7 @@ def sample_model(articles: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model
     """
     n = articles.count()
     h = F.shiftrightunsigned(F.xxhash64("document_id"), 1)
-    near = h < int(min(1.0, 1.5 * sample_pages / max(n, 1) + 100 / max(n, 1)) * (2**63 - 1))
+    near = h <= min(2**63 - 1, (2**63 - 1) * (3 * sample_pages // 2 + 100) // max(n, 1))
     rows = articles.where(near).select("title", "body", h.alias("h"), "document_id").orderBy("h", "document_id").limit(sample_pages).select("title", "body").collect()
     return fit([(r[0], r[1]) for r in rows])
 
