@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeel.llm import boilerplate, neardup
+from lorekeel.llm import batchdedup, boilerplate, neardup
 from lorekeel.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_text(read_table(spark, sf_dir, "articles"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each article that an earlier one is near to, with the earliest such article."""
+    return batchdedup.first_known(read_table(spark, sf_dir, "articles"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of articles whose stories share at least half of their runs of three words."""
     return neardup.near_duplicate_pairs(read_table(spark, sf_dir, "articles"))
