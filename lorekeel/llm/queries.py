@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeel.llm import batchdedup, boilerplate, neardup
+from lorekeel.llm import batchdedup, boilerplate, neardup, repeated
 from lorekeel.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,17 @@ def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.main_text(read_table(spark, sf_dir, "articles"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each occurrence of a line repeated within its source."""
+    return repeated.repeated_lines(read_table(spark, sf_dir, "articles"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles without those lines."""
+    articles = read_table(spark, sf_dir, "articles")
+    return repeated.without_lines(articles, repeated.repeated_lines(articles)).select("document_id", "source", "body")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each article that an earlier one is near to, with the earliest such article."""
     return batchdedup.first_known(read_table(spark, sf_dir, "articles"))
@@ -41,5 +52,24 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+# Lines in their compared form, by article.
+_LINES = r"""
+lines AS (
+  SELECT document_id, source, CAST(no - 1 AS INTEGER) AS line_no,
+         regexp_replace(trim(regexp_replace(lower(l), '\s+', ' ', 'g')), '[0-9]+', '0', 'g') AS form
+  FROM (SELECT document_id, source, unnest(string_split(body, chr(10))) AS l, generate_subscripts(string_split(body, chr(10)), 1) AS no FROM articles)
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": f"""
+WITH {_LINES},
+often AS (
+  SELECT source, form FROM lines WHERE form <> '' GROUP BY source, form
+  HAVING count(DISTINCT document_id) >= 5
+     AND count(DISTINCT document_id) * 20 >= (SELECT count(*) FROM articles a WHERE a.source = lines.source)
+)
+SELECT document_id, line_no FROM lines JOIN often USING (source, form)
+""",
+    }
