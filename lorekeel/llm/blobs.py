@@ -33,10 +33,12 @@ def lengths(column: pa.Array | pa.ChunkedArray, dtype: type) -> np.ndarray:
 
 def split(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The rows of every bucket, in their order."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cols = [c[order] for c in columns]
-    cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
     for i, j in zip(cut, [*cut[1:], len(b)], strict=True):
         yield int(b[i]), [c[i:j] for c in cols]
 

@@ -88,6 +88,7 @@ def similar_classes(table: DataFrame, least: float = stories.SIMILARITY, n: int
     hot = hot_shingles(table, n, table.count())
     overlap = least / (1 + least)
     bin_, i32 = pa.binary(), pa.int32()
+    place_type = np.uint16 if buckets < 1 << 16 else np.int32
 
     def scatter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -100,7 +101,7 @@ def similar_classes(table: DataFrame, least: float = stories.SIMILARITY, n: int
                 rows = []
                 for k, (dd, hh, hm) in blobs.split(to, d, h, home):
                     who, cnt = np.unique(dd, return_counts=True)
-                    rows.append((k, ids[who].astype(np.int64).tobytes(), cnt.astype(np.int32).tobytes(), hh.astype(np.uint32).tobytes(), hm.astype(np.int32).tobytes() if k < 0 else b""))
+                    rows.append((k, ids[who].astype(np.int64).tobytes(), cnt.astype(np.int32).tobytes(), hh.astype(np.uint32).tobytes(), hm.astype(place_type).tobytes() if k < 0 else b""))
                 yield from _table(rows, ("bucket", "ids", "cnt", "low", "home"), (i32, bin_, bin_, bin_, bin_)).to_batches()
 
     def count(t: pa.Table) -> pa.Table:
@@ -108,11 +109,11 @@ def similar_classes(table: DataFrame, least: float = stories.SIMILARITY, n: int
         ids, cnt, low = blobs.flat(t["ids"], np.int64), blobs.flat(t["cnt"], np.int32), blobs.flat(t["low"], np.uint32)
         rid = np.repeat(ids, cnt)
         if k < 0:
-            cls, home = np.full(len(low), _HOT, np.uint8), blobs.flat(t["home"], np.int32)
+            cls, home = np.full(len(low), _HOT, np.uint8), blobs.flat(t["home"], place_type)
             back = np.full(len(low), -1 - k)
         else:
             _, inv, c = np.unique(low, return_inverse=True, return_counts=True)
-            cls, home = _length_class(c)[inv], np.full(len(low), k, np.int32)
+            cls, home = _length_class(c)[inv], np.full(len(low), k, place_type)
             back = (bs.mix(rid.view(np.uint64)) % bs.U64(buckets)).astype(np.int64)
         rows = []
         for to, (r, lo, c, hm) in blobs.split(back, rid, low, cls, home):
@@ -123,7 +124,7 @@ def similar_classes(table: DataFrame, least: float = stories.SIMILARITY, n: int
     def choose(t: pa.Table) -> pa.Table:
         ids, cnt, low, cls = blobs.flat(t["ids"], np.int64), blobs.flat(t["cnt"], np.int32), blobs.flat(t["low"], np.uint32), blobs.flat(t["cls"], np.uint8)
         per_row = blobs.lengths(t["low"], np.uint32)
-        home = np.concatenate([np.frombuffer(x, np.int32) if k < 0 else np.full(m, k, np.int32) for k, x, m in zip(t["home"].to_pylist(), t["homes"].to_pylist(), per_row.tolist(), strict=True)])
+        home = np.concatenate([np.frombuffer(x, place_type).astype(np.int32) if k < 0 else np.full(m, k, np.int32) for k, x, m in zip(t["home"].to_pylist(), t["homes"].to_pylist(), per_row.tolist(), strict=True)])
         rid, doc = np.unique(np.repeat(ids, cnt), return_inverse=True)
         size = np.bincount(doc)
         order = np.lexsort((low, home, cls, doc))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeel.llm import batchdedup, boilerplate, neardup, repeated
+from lorekeel.llm import batchdedup, boilerplate, groups, neardup, repeated
 from lorekeel.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(read_table(spark, sf_dir, "articles"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every entity linked to another one."""
+    return groups.entity_groups(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "entity_matches"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
@@ -63,6 +68,19 @@ lines AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_found": """
+WITH RECURSIVE raw AS (
+  SELECT entity_id AS x, merged_into AS y FROM entities UNION ALL SELECT left_id, right_id FROM entity_matches
+), both_ways AS (
+  SELECT x, y FROM raw WHERE x <> y UNION SELECT y, x FROM raw WHERE x <> y
+), reach(x, y) AS (
+  SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x
+)
+SELECT r.x AS entity_id, least(r.x, min(r.y)) AS group_id
+FROM reach r
+WHERE r.x IN (SELECT entity_id FROM entities) AND r.y IN (SELECT entity_id FROM entities) AND r.x <> r.y
+GROUP BY r.x
+""",
         "p2_found": f"""
 WITH {_LINES},
 often AS (
