@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorekeel.llm import batchdedup, boilerplate, groups, neardup, repeated
+from lorekeel.llm import batchdedup, boilerplate, groups, leakage, lookalike, mixing, neardup, repeated
 from lorekeel.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,36 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.entity_groups(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "entity_matches"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and the documents that share thirteen consecutive words with their prompts."""
+    return leakage.leaked_runs(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and documents with a passage that says what the prompt says."""
+    return leakage.paraphrases(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest mixture at the target shares: documents and how often each is taken."""
+    return mixing.mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that mixture reaches."""
+    return mixing.mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose texts differ but look the same."""
+    return lookalike.lookalike_pairs(read_table(spark, sf_dir, "documents"))
+
+
+def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one form of its text."""
+    return lookalike.canonical(read_table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "canonical")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 

@@ -27,7 +27,7 @@ LEAST_ARTICLES = 5
 LEAST_SHARE_INVERSE = 20  # 1 / 5 %
 KEYS_AT_ONCE = 1_000_000
 
-_SPACES = " \u0085                　"
+_SPACES = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _DIGIT = re.compile(r"(?![0-9])\d")
 _KIND = np.zeros(256, np.uint8)  # 1 blank, 2 digit
 for _c in b" \t\r\x0b\x0c\x1c\x1d\x1e\x1f":
