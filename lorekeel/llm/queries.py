@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeel.llm import batchdedup, boilerplate, groups, leakage, lookalike, mixing, neardup, repeated
+from lorekeel.llm import batchdedup, boilerplate, groups, leakage, lookalike, mixing, names, neardup, repeated
 from lorekeel.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.without_lines(articles, repeated.repeated_lines(articles)).select("document_id", "source", "body")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person or organization that each unresolved mention names."""
+    return names.link_mentions(*(read_table(spark, sf_dir, t) for t in ("provenance", "entities", "entity_aliases")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each article that an earlier one is near to, with the earliest such article."""
     return batchdedup.first_known(read_table(spark, sf_dir, "articles"))
