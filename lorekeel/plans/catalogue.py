@@ -6,12 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorekeel.operators import versions
+from lorekeel.session import read_table
+
 Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(r"""
+WITH held AS (
+  SELECT entity_id, coalesce(updated_at, created_at) AS t,
+    row(nullif(trim(regexp_replace(canonical_name, '\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(subtype, '\s+', ' ', 'g')), ''),
+        nullif(trim(regexp_replace(description, '\s+', ' ', 'g')), ''), valid_from, valid_until,
+        nullif(trim(regexp_replace(status, '\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(merged_into, '\s+', ' ', 'g')), ''))::VARCHAR AS p
+  FROM entity_snapshots
+  QUALIFY row_number() OVER (PARTITION BY entity_id, coalesce(updated_at, created_at) ORDER BY snapshot_at DESC, snapshot_id DESC) = 1
+), starts AS (
+  SELECT entity_id, t FROM held WINDOW w AS (PARTITION BY entity_id ORDER BY t)
+  QUALIFY p IS DISTINCT FROM lag(p) OVER w OR row_number() OVER w = 1
+)
+SELECT entity_id, epoch_us(t) AS start_us, coalesce(lead(epoch_us(t)) OVER (PARTITION BY entity_id ORDER BY t), -1) AS end_us FROM starts
+""")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions of every entity and their periods."""
+    return versions.version_history(read_table(spark, sf_dir, "entity_snapshots"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
