@@ -546,10 +546,10 @@ def backfill_day_range(spark, d):
     return ar.backfill(_Tables(spark, d).articles, "2024-04-01", "2024-04-30").select("url", F.col("day").cast("string").alias("day"))
 
 
-@query("SELECT document_id FROM articles WHERE replace(document_id, '-', '') NOT IN (SELECT replace(document_id, '-', '') FROM provenance)")
+@query("SELECT document_id FROM articles WHERE replace(document_id, '-', '') NOT IN (SELECT replace(document_id, '-', '') FROM provenance WHERE run_id < '8')")
 def unprocessed_documents(spark, d):
     t = _Tables(spark, d)
-    return ar.unprocessed(t.articles, t.provenance).select("document_id")
+    return ar.unprocessed(t.articles, t.provenance.where("run_id < '8'")).select("document_id")
 
 
 _FAILED = "(SELECT DISTINCT run_id, document_id FROM provenance WHERE run_id IN (SELECT run_id FROM ingestion_runs WHERE status = 'failed'))"
@@ -655,13 +655,13 @@ def health_summary(spark, d):
 
 # ---------------------------------------------------------------- merging results
 _PROPOSED = """(SELECT replace(p.document_id, '-', '') AS document_id, CAST(p.prov_id % 5 AS INTEGER) AS chunk_index, p.mention_text AS canonical_name,
-coalesce(e.entity_type, 'topic') AS entity_type, p.context_snippet AS description, p.prov_id FROM provenance p LEFT JOIN entities e USING (entity_id))"""
+coalesce(CASE WHEN p.prov_id % 7 > 0 THEN e.entity_type END, 'topic') AS entity_type, p.context_snippet AS description, p.prov_id FROM provenance p LEFT JOIN entities e USING (entity_id))"""
 
 
 def _proposed(t):
     """Mentions as the proposals of five chunks for each document."""
     p = t.provenance.join(t.entities.select("entity_id", "entity_type"), "entity_id", "left")
-    return p.select(c.hex_id("document_id").alias("document_id"), (F.col("prov_id") % 5).cast("int").alias("chunk_index"), F.col("mention_text").alias("canonical_name"), F.coalesce("entity_type", F.lit("topic")).alias("entity_type"), F.col("context_snippet").alias("description"))
+    return p.select(c.hex_id("document_id").alias("document_id"), (F.col("prov_id") % 5).cast("int").alias("chunk_index"), F.col("mention_text").alias("canonical_name"), F.coalesce(F.when(F.col("prov_id") % 7 > 0, F.col("entity_type")), F.lit("topic")).alias("entity_type"), F.col("context_snippet").alias("description"))
 
 
 @query(f"""SELECT document_id, entity_type, canonical_name, description, chunk_index FROM {_PROPOSED} r
