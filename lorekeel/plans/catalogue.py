@@ -15,6 +15,8 @@ from lorekeel import schemas
 from lorekeel.functions import columns as c
 from lorekeel.operators import articles as ar
 from lorekeel.operators import budget, detection, graph, lookups, mentions, merging, segments, versions
+from lorekeel.plans import pipeline
+from lorekeel.sources import readers
 from lorekeel.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1001,6 +1003,25 @@ def ambiguity_score(spark, d):
     return g.select("document_id", F.round(c.ambiguity(F.col("n"), F.col("new"), F.col("bad") == 0), 6).alias("ambiguity"))
 
 
+# ---------------------------------------------------------------- sources and runs
+@query(r"""WITH l AS (SELECT document_id, trim(unnest(string_split(regexp_replace(body, '[<>&]', ' ', 'g'), chr(10)))) AS line, generate_subscripts(string_split(regexp_replace(body, '[<>&]', ' ', 'g'), chr(10)), 1) AS pos FROM articles)
+SELECT document_id, md5(coalesce(string_agg(regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), chr(10) || chr(10) ORDER BY pos) FILTER (NOT regexp_full_match(line, '[\s\p{Z}]*')), '')) AS text FROM l GROUP BY 1""")
+def html_article_text(spark, d):
+    """Bodies as pages with one paragraph for each line, and their text back again."""
+    a = _Tables(spark, d).articles
+    body = F.regexp_replace(F.regexp_replace("body", "[<>&]", " "), "\n", "</p>\n<p class='x'>")
+    pages = a.select("document_id", F.concat(F.lit("<html><nav><p>Menu</p></nav><article><p>"), body, F.lit("</p></article><article><p>Other</p></article></html>")).alias("html"))
+    return readers.article_texts(pages, "document_id").select("document_id", F.md5("text").alias("text"))
+
+
+@query()
+def ingest_mentions(spark, d):
+    """A whole run over all documents: chunks, dictionary, resolution, snippets, and the rows that are new."""
+    t = _Tables(spark, d)
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), "text", "doc_type", "source")
+    return pipeline.ingest(docs, t.entities, t.entity_aliases, t.provenance, "run-1", NOW).provenance
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 
