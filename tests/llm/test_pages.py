@@ -105,10 +105,8 @@ def variants(r, base, n):
 def near_fixture(spark, r):
     texts = [" ".join(r.choice(WORDS) for _ in range(r.choice([4, 20, 60, 90]))) for _ in range(60)]
     texts += variants(r, texts[3] + " " + texts[4] + " " + texts[5], 12) + [texts[0]] * 15 + ["a b", "", "one two three", "one two three"]
-    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rid long, t string")
     words = {i: bs.scan_words([t]).word for i, t in enumerate(texts)}
-    data = [(i, f"d{i:04d}", i, w.astype(stories.WORD).tobytes() if False else (w >> bs.U64(32)).astype(stories.WORD).tobytes()) for i, w in words.items() if len(w) >= 3]
-    del table
+    data = [(i, f"d{i:04d}", i, (w >> bs.U64(32)).astype(stories.WORD).tobytes()) for i, w in words.items() if len(w) >= 3]
     return texts, spark.createDataFrame(data, "rid long, document_id string, at long, words binary").withColumn("scraped_at", F.col("at")).withColumn("key", F.md5("words").cast("binary"))
 
 
@@ -127,6 +125,7 @@ def test_t_occurrence_against_brute_force(spark, monkeypatch):
     assert sorted((r["a"], r["b"]) for r in neardup.similar_classes(table).collect()) == want
     monkeypatch.setattr(neardup, "hot_shingles", lambda t, n, k: np.unique(np.concatenate([stories.shingles(np.frombuffer(r["words"], stories.WORD), np.array([len(r["words"]) // 4]))[1] for r in t.collect()])))
     assert sorted((r["a"], r["b"]) for r in neardup.similar_classes(table).collect()) == want  # every list treated as hot
+    monkeypatch.undo()
     assert neardup.similar_classes(table.limit(0)).count() == 0
 
 
@@ -165,3 +164,25 @@ def test_first_known_equals_the_earliest_near_article(spark):
     assert dict(rows(batchdedup.first_known(a))) == want and len(want) > 20
     groups = neardup.near_duplicate_groups(a)
     assert groups.count() == 40
+
+
+def test_index_gives_batch_by_batch_what_the_whole_gives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batchdedup, "FAN_IN", 2)
+    r = random.Random(7)
+    base = [[paragraph(r) for _ in range(4)] for _ in range(6)]
+    pages = []
+    for _ in range(40):
+        story = list(r.choice(base))
+        if r.random() < 0.6:
+            i = r.randrange(4)
+            words = story[i].split()
+            words[r.randrange(len(words))] = r.choice(WORDS)
+            story[i] = " ".join(words)
+        pages.append(("t", page(r, story), "s"))
+    a = articles(spark, pages)
+    whole = dict(rows(batchdedup.first_known(a)))
+    index, got = batchdedup.HistoryIndex(spark, str(tmp_path / "index"), 4), {}
+    for lo in range(0, 40, 10):
+        part = a.where((F.substring("document_id", 2, 9).cast("int") >= lo) & (F.substring("document_id", 2, 9).cast("int") < lo + 10))
+        got |= dict(rows(index.add(part)))
+    assert got == whole and len(index._list("segments")) == 1
