@@ -132,3 +132,15 @@ def test_long_text_is_counted_whole(spark):
     text = ("lorem ipsum dolor " * 4000).strip()
     d = spark.createDataFrame([(1, text, "s"), (2, "", "s")], "doc_id long, text string, source string")
     assert [(x["doc_id"], x["tokens"]) for x in mixing.token_counts(d).orderBy("doc_id").collect()] == [(1, len(enc.encode_ordinary(text))), (2, 0)]
+
+
+def test_similar_tokens_against_brute_force(spark):
+    r = random.Random(3)
+    words = ["anna", "amna", "smith", "smyth", "weber", "weer", "martin", "matrin", "ann", "an", "abcdefgh", "bacdefxh", "lü", "lüne", "line"]
+    words += ["".join(r.choice("abc") for _ in range(r.randrange(2, 12))) for _ in range(300)]
+    words = sorted(set(words))
+    df = spark.createDataFrame([(w,) for w in words], "key string")
+    for most in (1, 2):
+        near = lambda a, b: names.edits(a, b, k := min(most, 0 if (n := max(len(a), len(b))) < 4 else 1 if n < 7 else 2)) <= k  # noqa: B023, E731
+        want = sorted((a, b) for a in words for b in words if a != b and near(a, b))
+        assert rows(names.similar_tokens(df, df, most)) == want and ("anna", "amna") in want
