@@ -144,3 +144,27 @@ def test_similar_tokens_against_brute_force(spark):
         near = lambda a, b: names.edits(a, b, k := min(most, 0 if (n := max(len(a), len(b))) < 4 else 1 if n < 7 else 2)) <= k  # noqa: B023, E731
         want = sorted((a, b) for a in words for b in words if a != b and near(a, b))
         assert rows(names.similar_tokens(df, df, most)) == want and ("anna", "amna") in want
+
+
+def test_mentions_miss_no_name_that_the_scorer_accepts(spark):
+    e = [("1", "Margaret Tolnibar", "person", None), ("2", "Kelvo Industries", "organization", None), ("3", "Anna Robinetal", "person", None), ("4", "Weber Holdings Palimor", "organization", None), ("5", "W. Qestamar", "person", None)]
+    e += [(f"a{i}", f"Xu{i}rem Tolnibar", "person", None) for i in range(30)] + [(f"b{i}", f"Zet{i}kan Industries", "organization", None) for i in range(30)]
+    e += [(f"c{i}", f"Dor{i}vel Robinetal", "person", None) for i in range(30)] + [(f"d{i}", f"Margaret Vel{i}sotar", "person", None) for i in range(3)]
+    aliases = [("d0", "M. Vel0sotar"), ("4", "WeberHoldings Palimor")]
+    known = [(100 + i, f"d{i}", f"Peggy Vel{i}sotar") for i in range(3)]  # the nickname stands in resolved mentions only
+    mentions = ["Peggy Tolnibar", "Kelvo Indrs", "Amna Robinetal", "Weer Holdings Palimor", "Walter Qestamar", "Tolnibar M.", "WeberHoldngs Palimor", "Kel vo Industries", "Peggyy Tolnibar", "Industries", "Nobody Elsewhere"]
+    p = spark.createDataFrame([(i, None, m) for i, m in enumerate(mentions)] + known, P)
+    got = dict(rows(names.link_mentions(p, spark.createDataFrame(e, E), spark.createDataFrame(aliases, "entity_id string, alias string"))))
+    # All mentions against all names.
+    all_names = [(i, n) for i, n, *_ in e] + aliases
+    seen = Counter(t for t, _ in {(t, i) for i, n in all_names for t in names.tokens(n)})
+    weight = lambda t: float(np.log((len(e) + 1) / (seen[t] + 0.5)))
+    forms = names.short_forms(spark.createDataFrame([(m, dict(all_names[: len(e)])[i], i) for _, i, m in known] + [(a, dict(all_names[: len(e)])[i], i) for i, a in aliases], "text string, name string, target string"))
+    scorer = names.Scorer(forms, float(np.log((len(e) + 1) / (0.002 * len(e) + 8.5))))
+    want = {}
+    for k, m in enumerate(mentions):
+        t = names.tokens(m)
+        score = {i: round(s, 6) for s, i in sorted((scorer.score(t, [weight(x) for x in t], r, [weight(x) for x in r]), i) for i, r in ((i, names.tokens(n)) for i, n in all_names))}
+        if (best := max(score.values())) >= names.ACCEPT:
+            want[k] = min(i for i, s in score.items() if s == best)
+    assert got == want and {0: "1", 1: "2", 2: "3"}.items() <= want.items()
