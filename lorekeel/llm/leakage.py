@@ -8,7 +8,8 @@ terms. Candidates are windows whose latent vectors point the same way as one of
 * windows of thirteen words are compared by the signs of their latent coordinates. Term vectors are whole
   numbers, so equal windows have exactly equal sums and always meet; what meets is then compared word by word;
 * for paraphrases, wider windows are compared by cosine, then by their longest common subsequence, and
-  the answer is looked for in the document.
+  the answer is looked for in the document. Windows begin at every ``STEP``-th word of a document (half of it in prompts), and
+  one ends at its last word. If prompt or document is shorter than that, it is one window, and those of the other are as short.
 
 Evaluation items are the stated query set; they go against all documents in blocks of ``BLOCK`` items.
 """
@@ -132,6 +133,21 @@ def windows(space: Space, words: np.ndarray, size: np.ndarray, width: int, step:
     return doc[first], first, sums[first + width] - sums[first]
 
 
+def spans(size: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word) of windows of ``width`` words at each ``step``-th word and at the end of texts that have so many."""
+    size = size.astype(np.int64)
+    n = np.where(size < width, 0, 1 + -(-np.maximum(size - width, 0) // step))
+    text = np.repeat(np.arange(len(size)), n)
+    return text, (np.cumsum(size) - size)[text] + np.minimum(bs.segment_ranges(n) * step, size[text] - width)
+
+
+def _sums(space: Space, words: np.ndarray) -> np.ndarray:
+    """Sums of the latent vectors of all words before each place; they wrap around, differences over up to 512 words do not."""
+    sums = np.zeros((len(words) + 1, RANK), np.int32)
+    np.cumsum(space.terms[(words % bs.U64(TERMS)).astype(np.int64)], axis=0, out=sums[1:], dtype=np.int32)
+    return sums
+
+
 def signature(vectors: np.ndarray) -> np.ndarray:
     """The signs of the coordinates, as one number."""
     return np.packbits(vectors > 0, axis=1).view(np.uint32)[:, 0] if len(vectors) else np.zeros(0, np.uint32)
@@ -230,8 +246,15 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 def _paraphrased_block(documents: DataFrame, block: list[tuple[int, str, str]], cosine: float, common: float, space: Space) -> DataFrame:
     w, size = _scan([p for _, p, _ in block])
-    doc, first, vec = windows(space, w, size, WIDE, STEP // 2)
-    unit = _unit(vec)
+    item_sums = _sums(space, w)
+    asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def of_items(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if width not in asked:
+            doc, first = spans(size, width, max(1, width * STEP // WIDE // 2))
+            asked[width] = doc, first, _unit(item_sums[first + width] - item_sums[first])
+        return asked[width]
+
     ids = np.array([i for i, _, _ in block], np.int64)
     answer, answer_size = _scan([x for _, _, x in block])
     at = np.cumsum(answer_size) - answer_size
@@ -243,24 +266,35 @@ def _paraphrased_block(documents: DataFrame, block: list[tuple[int, str, str]],
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, b in bs.chunks((len(t or "") + 1 for t in texts), 500_000):
                 words, n = _scan(texts[a:b])
-                d, f, v = windows(space, words, n, WIDE, STEP)
-                if not len(d) or not len(unit):
-                    continue
-                mine = _unit(v)
-                for s in range(0, len(mine), 4096):
-                    i, j = np.nonzero(mine[s : s + 4096] @ unit.T >= cosine)
-                    if not len(i):
+                start, sums = np.cumsum(n) - n, _sums(space, words)
+                for width in np.unique(np.minimum(np.concatenate((size, n)), WIDE)).tolist():
+                    if not width:
                         continue
-                    i = i + s
-                    span = np.arange(WIDE)
-                    lcs = lcs_lengths(w[first[j][:, None] + span], words[f[i][:, None] + span])
-                    ok = lcs >= common * WIDE
-                    i, j, lcs = i[ok], j[ok], lcs[ok]
-                    start = np.cumsum(n) - n
-                    found = []
-                    for x, y in zip(d[i].tolist(), doc[j].tolist(), strict=True):
-                        own = words[start[x] : start[x] + n[x]]
-                        found.append(None if not len(answers[y]) else bool(np.isin(answers[y], own).all()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc[j]]), pa.array(doc_ids[a + d[i]].astype(np.int64)), pa.array((mine[i] * unit[j]).sum(1).astype(np.float64)), pa.array(lcs.astype(np.int32)), pa.array(found, pa.bool_())], ["item_id", "doc_id", "cosine", "common_words", "answer_found"])
+                    doc, first, unit = of_items(width)
+                    d, f = spans(n, width, max(1, width * STEP // WIDE))
+                    # A pair of texts meets in windows of one width: as wide as the shorter one, WIDE at most.
+                    whole_d, whole_i = n[d] == width, size[doc] == width
+                    sides = [(np.arange(len(d)), np.arange(len(doc)))] if width == WIDE else [(np.flatnonzero(whole_d), np.arange(len(doc))), (np.flatnonzero(~whole_d), np.flatnonzero(whole_i))]
+                    for of_d, of_i in sides:
+                        if not len(of_d) or not len(of_i):
+                            continue
+                        mine = _unit(sums[f[of_d] + width] - sums[f[of_d]])
+                        for s in range(0, len(mine), 4096):
+                            i, j = np.nonzero(mine[s : s + 4096] @ unit[of_i].T >= cosine)
+                            i, j = i + s, of_i[j]
+                            lcs = np.zeros(len(i), np.int64)
+                            for k in range(0, len(i), 20_000):
+                                x, y = first[j[k : k + 20_000]], f[of_d[i[k : k + 20_000]]]
+                                lcs[k : k + 20_000] = lcs_lengths(w[x[:, None] + np.arange(width)], words[y[:, None] + np.arange(width)])
+                            ok = lcs >= common * width
+                            i, j, lcs = i[ok], j[ok], lcs[ok]
+                            if not len(i):
+                                continue
+                            found = []
+                            of = d[of_d[i]]
+                            for x, y in zip(of.tolist(), doc[j].tolist(), strict=True):
+                                own = words[start[x] : start[x] + n[x]]
+                                found.append(None if not len(answers[y]) else bool(np.isin(answers[y], own).all()))
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[j]]), pa.array(doc_ids[a + of].astype(np.int64)), pa.array((mine[i] * unit[j]).sum(1).astype(np.float64)), pa.array(lcs.astype(np.int32)), pa.array(found, pa.bool_())], ["item_id", "doc_id", "cosine", "common_words", "answer_found"])
 
     return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(find, "item_id long, doc_id long, cosine double, common_words int, answer_found boolean")

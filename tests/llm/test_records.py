@@ -168,3 +168,15 @@ def test_mentions_miss_no_name_that_the_scorer_accepts(spark):
         if (best := max(score.values())) >= names.ACCEPT:
             want[k] = min(i for i, s in score.items() if s == best)
     assert got == want and {0: "1", 1: "2", 2: "3"}.items() <= want.items()
+
+
+def test_paraphrases_of_short_texts_and_at_ends(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    prompts = [text(9), text(24), text(30), text(14), text(35)]
+    swapped = lambda p: [x if k % 8 != 5 else r.choice(words) for k, x in enumerate(p)]
+    docs = [text(27) + swapped(prompts[0]), text(35) + swapped(prompts[1]), text(23) + swapped(prompts[2])[6:], swapped(prompts[3]), text(31) + swapped(prompts[4])[-24:], swapped(prompts[4][7:20])] + [text(60) for _ in range(40)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)] + [(98, None), (99, "")], "doc_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(p), "") for i, p in enumerate(prompts)], "item_id long, prompt string, answer string")
+    assert {(x, y) for x, y, *_ in rows(leakage.paraphrases(d, q))} == {(i, i) for i in range(5)} | {(4, 5)}
