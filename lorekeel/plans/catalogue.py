@@ -888,6 +888,29 @@ def kg_context_block(spark, d):
     return budget.context_block(budget.fitted(chunks, e, 700), e).select("chunk_id", F.md5("block").alias("block"))
 
 
+def _prescanned(t):
+    """All documents with the entities that any occurrence in them could mean, and all entities."""
+    ids = detection.prescan(detection.detect(_docs(t), _dictionary(t)), _dictionary(t)).groupBy("document_id").agg(F.sort_array(F.collect_list("entity_id")).alias("candidate_ids"))
+    return _docs(t).join(ids, "document_id").select(F.col("document_id").cast("long").alias("chunk_id"), "text", "candidate_ids"), lookups.with_aliases(t.entities, t.entity_aliases)
+
+
+@query()
+def alias_match_counts_all(spark, d):
+    """As alias_match_counts, over all documents with the candidates that occur in them; checked against brute force in the tests."""
+    return budget.alias_matches(*_prescanned(_Tables(spark, d)))
+
+
+@query()
+def fit_candidates_all(spark, d):
+    return budget.fitted(*_prescanned(_Tables(spark, d)), 700)
+
+
+@query()
+def kg_context_block_all(spark, d):
+    chunks, e = _prescanned(_Tables(spark, d))
+    return budget.context_block(budget.fitted(chunks, e, 700), e).select("chunk_id", F.md5("block").alias("block"))
+
+
 # ---------------------------------------------------------------- segments
 _Z = r"[\s\p{Z}\x{0B}\x{85}]"
 def _strip(x: str) -> str:

@@ -134,3 +134,26 @@ def test_candidates_that_fit(spark):
     assert rows(budget.fitted(chunks, e, 200)) == [(1, "a", 1), (1, "b", 2), (2, "a", 1)]
     assert rows(budget.fitted(chunks, e, 35)) == [(1, "b", 1)]
     assert "[1] entity_id=b" in budget.context_block(budget.fitted(chunks, e, 35), e).first()["block"]
+
+
+def test_candidates_of_all_documents(spark, tmp_path):
+    import re
+
+    from lorekeel.plans import catalogue
+
+    e = [(f"e{i}", f"Name{i} Corp", "organization", None, "d" * 40 * i) for i in range(12)] + [("x", "name1 corp", "person", "s", None)]
+    a = [("e2", "Deux"), ("e3", "deux"), ("gone", "Nowhere"), ("e4", None)]
+    text = lambda *k: " and ".join(f"Name{i} Corp" for i in k)
+    docs = [(1, text(1, 2), "news"), (2, "deux. " + text(*range(12)) + " deux", "research"), (3, "xname5 corp", "filing"), (4, "name5 corp, name5 corps " * 3, "transcript"), (5, None, "news"), (6, text(7) * 400, "filing")]
+    for name, r, schema in (("entities", e, "entity_id string, canonical_name string, entity_type string, subtype string, description string"), ("entity_aliases", a, "entity_id string, alias string"), ("documents", docs, "doc_id long, text string, doc_type string")):
+        spark.createDataFrame(r, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    forms = {i: {n.lower()} | {x.lower() for k, x in a if k == i and x} for i, n, *_ in e}
+    count = lambda low, f: len(re.findall(f"(?={re.escape(f)})", low))
+    want = [(d, i, sum(count(t.lower(), f) for f in fs)) for d, t, _ in docs if t for i, fs in forms.items() if any(re.search(rf"(?<![^\W_]){re.escape(f)}(?![^\W_])", t.lower()) for f in fs)]
+    q = catalogue.queries()
+    assert rows(q["alias_match_counts_all"](spark, str(tmp_path))) == rows(spark.createDataFrame(want, "a long, b string, c long"))
+    fit = rows(q["fit_candidates_all"](spark, str(tmp_path)))
+    shown = {d for d, *_ in fit}
+    assert {x[:2] for x in fit} <= {x[:2] for x in want} and shown == {1, 2, 4}  # the sixth fills the budget by itself
+    assert {i for d, i, _ in fit if d == 1} == {"e1", "e2", "x"} and 1 < sum(d == 2 for d, *_ in fit) < 13
+    assert {d for d, _ in rows(q["kg_context_block_all"](spark, str(tmp_path)))} == shown
