@@ -965,8 +965,8 @@ def segment_transcript(spark, d):
 
 @query()
 def sub_chunk_paragraphs(spark, d):
-    """Sections of research texts in pieces of at most 60 words; a fold, checked against brute force in the tests."""
-    return segments.expanded(segments.research(_docs(_Tables(spark, d)).where("doc_type = 'research'")), 60, 0.0)
+    """Sections of texts of every kind in pieces of at most 60 words; a fold, checked against brute force in the tests."""
+    return segments.expanded(pipeline.chunks(_docs(_Tables(spark, d))), 60, 0.0)
 
 
 @query(rf"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS piece, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS pos FROM documents),

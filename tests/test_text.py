@@ -157,3 +157,14 @@ def test_candidates_of_all_documents(spark, tmp_path):
     assert {x[:2] for x in fit} <= {x[:2] for x in want} and shown == {1, 2, 4}  # the sixth fills the budget by itself
     assert {i for d, i, _ in fit if d == 1} == {"e1", "e2", "x"} and 1 < sum(d == 2 for d, *_ in fit) < 13
     assert {d for d, _ in rows(q["kg_context_block_all"](spark, str(tmp_path)))} == shown
+
+
+def test_texts_of_every_kind_are_cut(spark, tmp_path):
+    from lorekeel.plans import catalogue
+
+    docs = [(i, "\n\n".join(f"{kind} {k} " + "word " * 25 for k in range(6)), kind) for i, kind in enumerate(("news", "research", "transcript", "filing", "other"))]
+    spark.createDataFrame(docs, "doc_id long, text string, doc_type string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.queries()["sub_chunk_paragraphs"](spark, str(tmp_path)).collect()
+    for i, text, _ in docs:
+        own = [r["text"] for r in sorted(got, key=lambda r: r["chunk_index"]) if r["document_id"] == str(i)]
+        assert len(own) > 1 and all(len(x.split()) <= 60 for x in own) and " ".join(own).split() == text.split()
