@@ -159,7 +159,7 @@ def test_mentions_miss_no_name_that_the_scorer_accepts(spark):
     all_names = [(i, n) for i, n, *_ in e] + aliases
     seen = Counter(t for t, _ in {(t, i) for i, n in all_names for t in names.tokens(n)})
     weight = lambda t: float(np.log((len(e) + 1) / (seen[t] + 0.5)))
-    forms = names.short_forms(spark.createDataFrame([(m, dict(all_names[: len(e)])[i], i) for _, i, m in known] + [(a, dict(all_names[: len(e)])[i], i) for i, a in aliases], "text string, name string, target string"))
+    forms = {tuple(r) for r in names.short_forms(spark.createDataFrame([(m, dict(all_names[: len(e)])[i], i) for _, i, m in known] + [(a, dict(all_names[: len(e)])[i], i) for i, a in aliases], "text string, name string, target string")).collect()}
     scorer = names.Scorer(forms, float(np.log((len(e) + 1) / (0.002 * len(e) + 8.5))))
     want = {}
     for k, m in enumerate(mentions):
