@@ -3,11 +3,13 @@
 Passages of the corpus are TF-IDF vectors over hashed terms. A randomised singular value decomposition
 of all passages is made in one pass: every task adds up its part of the product of the matrix, its transpose
 and a random matrix. Each term then has a vector in the latent space; a window of words is the sum of its
-terms. Candidates are windows whose latent vectors point the same way as one of an evaluation item:
+terms. Windows of documents are compared by cosine with windows of the evaluation items (``Index``): those that share the signs
+of some latent coordinates are candidates, and what is as near as asked for goes on to a longest common subsequence.
 
-* windows of thirteen words are compared by the signs of their latent coordinates. Term vectors are whole
-  numbers, so equal windows have exactly equal sums and always meet; what meets is then compared word by word;
-* for paraphrases, wider windows are compared by cosine, then by their longest common subsequence, and
+* ``leaked_runs`` looks for runs of thirteen words. Any such run of a document holds a window of seven words that begins at a
+  multiple of seven; term vectors are whole numbers, so it has exactly the vector of the same words of the item, and no run is lost.
+  Around each pair of windows the common subsequence must have thirteen words, and then the words must follow each other.
+* ``paraphrases`` looks for wider windows that say the same: by cosine, then by the share of words in the common subsequence, and
   the answer is looked for in the document. Windows begin at every ``STEP``-th word of a document (half of it in prompts), and
   one ends at its last word. If prompt or document is shorter than that, it is one window, and those of the other are as short.
 
@@ -33,6 +35,9 @@ PASSAGE = 32  # words of a passage
 RUN = 13
 WIDE, STEP = 24, 12
 COSINE = 0.8
+BANDS, SIGNS = 24, 8  # of the fuzzy search: so many sets of so many signs
+EXACT_BANDS, EXACT_SIGNS = 2, 16  # of the search for equal words, which agree in all signs
+PAIRS = 200_000  # pairs of windows compared in one go
 COMMON = 0.6
 BLOCK = 5000
 ROW_BLOCKS = 16
@@ -118,21 +123,6 @@ def fit(documents: DataFrame, text_column: str = "text", seed: int = 7) -> Space
     return Space(np.round(v * scale).astype(np.int32), energy)
 
 
-def windows(space: Space, words: np.ndarray, size: np.ndarray, width: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, latent vector) of the windows of ``width`` words within texts."""
-    if len(words) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, RANK), np.int64)
-    doc = np.repeat(np.arange(len(size)), size)
-    first = np.arange(0, len(words) - width + 1)
-    ok = doc[first] == doc[first + width - 1]
-    if step > 1:
-        ok &= bs.segment_ranges(size)[first] % step == 0
-    first = first[ok]
-    sums = np.zeros((len(words) + 1, RANK), np.int64 if width > 512 else np.int32)
-    np.cumsum(space.terms[(words % bs.U64(TERMS)).astype(np.int64)], axis=0, out=sums[1:], dtype=sums.dtype)
-    return doc[first], first, sums[first + width] - sums[first]
-
-
 def spans(size: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, first word) of windows of ``width`` words at each ``step``-th word and at the end of texts that have so many."""
     size = size.astype(np.int64)
@@ -148,17 +138,56 @@ def _sums(space: Space, words: np.ndarray) -> np.ndarray:
     return sums
 
 
-def signature(vectors: np.ndarray) -> np.ndarray:
-    """The signs of the coordinates, as one number."""
-    return np.packbits(vectors > 0, axis=1).view(np.uint32)[:, 0] if len(vectors) else np.zeros(0, np.uint32)
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float32)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
-def _ranges(known: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index into key, index into known) of all equal pairs; ``known`` is sorted."""
+def _ranges(known: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index into key, index into known) of all equal pairs, in pieces; ``known`` is sorted."""
     lo, hi = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
     n = hi - lo
-    k = np.flatnonzero(n)
-    return np.repeat(k, n[k]), np.repeat(lo[k], n[k]) + bs.segment_ranges(n[k])
+    hit = np.flatnonzero(n)
+    for a, b in bs.chunks(n[hit].tolist(), PAIRS):
+        k = hit[a:b]
+        i, j = np.repeat(k, n[k]), np.repeat(lo[k], n[k]) + bs.segment_ranges(n[k])
+        for s in range(0, len(i), PAIRS):
+            yield i[s : s + PAIRS], j[s : s + PAIRS]
+
+
+class Index:
+    """Vectors by the signs of some of their coordinates, in several sets (bands); a search compares by cosine what shares a band.
+
+    Two vectors at an angle a share the signs of a band with probability about (1 - a / pi) ** signs; equal ones always do.
+    """
+
+    def __init__(self, vectors: np.ndarray, bands: int, signs: int) -> None:
+        r = np.random.default_rng(11)
+        self.unit = _unit(vectors)
+        self.sets = [r.permutation(RANK)[:signs] for _ in range(bands)]
+        keys = [self._key(vectors, s) for s in self.sets]
+        self.order = [np.argsort(k, kind="stable") for k in keys]
+        self.keys = [k[o] for k, o in zip(keys, self.order, strict=True)]
+
+    @staticmethod
+    def _key(vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        return (vectors[:, chosen] > 0) @ (1 << np.arange(len(chosen)))
+
+    def near(self, vectors: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in vectors, place in the index, cosine) of the pairs that share a band and are as near as asked for, each once."""
+        unit = _unit(vectors)
+        held = []
+        for s, o, known in zip(self.sets, self.order, self.keys, strict=True):
+            for i, j in _ranges(known, self._key(vectors, s)):
+                j = o[j]
+                c = np.einsum("ij,ij->i", unit[i], self.unit[j])
+                ok = c >= cosine - 1e-6
+                held.append((i[ok], j[ok], c[ok]))
+        if not held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        i, j, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, first = np.unique(i * max(len(self.unit), 1) + j, return_index=True)
+        return i[first], j[first], c[first]
 
 
 def _items(items: DataFrame) -> Iterator[list[tuple[int, str, str]]]:
@@ -183,13 +212,32 @@ def leaked_runs(documents: DataFrame, items: DataFrame, run: int = RUN, space: S
     return out.distinct()
 
 
+def _around(words: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, width: int, other: int) -> np.ndarray:
+    """``width`` words from each place of ``first``; a value of its own (``other`` and down) where that is outside of [start, end)."""
+    at = first[:, None] + np.arange(width)
+    inside = (at >= start[:, None]) & (at < end[:, None])
+    out = words[np.clip(at, 0, max(len(words) - 1, 0))] if len(words) else np.zeros(at.shape, np.uint64)
+    return np.where(inside, out, np.uint64(other))
+
+
+def _longest_run(same: np.ndarray) -> np.ndarray:
+    """The longest run of true values in each row."""
+    best = now = np.zeros(len(same), np.int64)
+    for j in range(same.shape[1]):
+        now = np.where(same[:, j], now + 1, 0)
+        best = np.maximum(best, now)
+    return best
+
+
 def _leaked_block(documents: DataFrame, block: list[tuple[int, str, str]], run: int, space: Space) -> DataFrame:
+    width = (run + 1) // 2  # any run holds a window of this width at a multiple of it
     w, size = _scan([p for _, p, _ in block])
-    doc, first, vec = windows(space, w, size, run)
-    sig, gram = signature(vec), bs.ngrams(w, run)[first] if len(first) else np.zeros(0, np.uint64)
-    o = np.argsort(sig, kind="stable")
-    sig, gram = sig[o], gram[o]
-    ids = np.array([i for i, _, _ in block], np.int64)[doc[o]] if len(doc) else np.zeros(0, np.int64)
+    doc, first = spans(size, width, 1)
+    sums = _sums(space, w)
+    index = Index(sums[first + width] - sums[first], EXACT_BANDS, EXACT_SIGNS)
+    ids = np.array([i for i, _, _ in block], np.int64)
+    item_start = np.cumsum(size) - size
+    wide = 2 * run - width  # any run that holds the window lies within so many words around it
 
     def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -197,18 +245,29 @@ def _leaked_block(documents: DataFrame, block: list[tuple[int, str, str]], run:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, b in bs.chunks((len(t or "") + 1 for t in texts), 500_000):
                 words, n = _scan(texts[a:b])
-                d, f, v = windows(space, words, n, run)
-                if not len(d) or not len(sig):
+                start, mine = np.cumsum(n) - n, _sums(space, words)
+                d, f = aligned(n, width)
+                i, j, _ = index.near(mine[f + width] - mine[f], COSINE)
+                if not len(i):
                     continue
-                s = signature(v)
-                i, j = _ranges(sig, s)
-                same = bs.ngrams(words, run)[f[i]] == gram[j]  # word by word
-                pair = np.unique(np.stack([ids[j[same]], d[i[same]]]), axis=1)
+                back = run - width
+                here = _around(words, start[d[i]], (start + n)[d[i]], f[i] - back, wide, 1)
+                there = _around(w, item_start[doc[j]], (item_start + size)[doc[j]], first[j] - back, wide, 2)
+                ok = np.concatenate([lcs_lengths(here[k : k + 20_000], there[k : k + 20_000]) for k in range(0, len(i), 20_000)]) >= run
+                ok[ok] = _longest_run(here[ok] == there[ok]) >= run
+                pair = np.unique(np.stack([ids[doc[j[ok]]], d[i[ok]]]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(doc_ids[a + pair[1]].astype(np.int64))], ["item_id", "doc_id"])
 
     return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(find, "item_id long, doc_id long")
 
 
+def aligned(size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word) of the windows of texts that begin at multiples of their width."""
+    n = size.astype(np.int64) // width
+    text = np.repeat(np.arange(len(size)), n)
+    return text, (np.cumsum(size) - size)[text] + bs.segment_ranges(n) * width
+
+
 def lcs_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Lengths of the longest common subsequences of rows of two arrays of words."""
     n, a = x.shape
@@ -239,21 +298,24 @@ def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = COSINE,
     return out.groupBy("item_id", "doc_id").agg(best).select("item_id", "doc_id", "m.cosine", "m.common_words", "m.answer_found")
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    v = v.astype(np.float32)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-
-
 def _paraphrased_block(documents: DataFrame, block: list[tuple[int, str, str]], cosine: float, common: float, space: Space) -> DataFrame:
     w, size = _scan([p for _, p, _ in block])
     item_sums = _sums(space, w)
-    asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    asked: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, Index]] = {}
 
-    def of_items(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if width not in asked:
-            doc, first = spans(size, width, max(1, width * STEP // WIDE // 2))
-            asked[width] = doc, first, _unit(item_sums[first + width] - item_sums[first])
-        return asked[width]
+    def of_items(width: int, whole: bool) -> tuple[np.ndarray, np.ndarray, Index]:
+        """The windows of prompts of a width; ``whole``: of the prompts that are no longer."""
+        if (width, whole) not in asked:
+            doc, first = spans(np.where(size == width, size, 0) if whole else size, width, max(1, width * STEP // WIDE // 2))
+            first = first + (item_at - item_at_whole(width))[doc] if whole else first
+            asked[width, whole] = doc, first, Index(item_sums[first + width] - item_sums[first], BANDS, SIGNS)
+        return asked[width, whole]
+
+    item_at = np.cumsum(size) - size
+
+    def item_at_whole(width: int) -> np.ndarray:
+        kept = np.where(size == width, size, 0)
+        return np.cumsum(kept) - kept
 
     ids = np.array([i for i, _, _ in block], np.int64)
     answer, answer_size = _scan([x for _, _, x in block])
@@ -270,31 +332,27 @@ def _paraphrased_block(documents: DataFrame, block: list[tuple[int, str, str]],
                 for width in np.unique(np.minimum(np.concatenate((size, n)), WIDE)).tolist():
                     if not width:
                         continue
-                    doc, first, unit = of_items(width)
                     d, f = spans(n, width, max(1, width * STEP // WIDE))
                     # A pair of texts meets in windows of one width: as wide as the shorter one, WIDE at most.
-                    whole_d, whole_i = n[d] == width, size[doc] == width
-                    sides = [(np.arange(len(d)), np.arange(len(doc)))] if width == WIDE else [(np.flatnonzero(whole_d), np.arange(len(doc))), (np.flatnonzero(~whole_d), np.flatnonzero(whole_i))]
-                    for of_d, of_i in sides:
-                        if not len(of_d) or not len(of_i):
+                    whole = n[d] == width
+                    for of_d, only in [(np.arange(len(d)), False)] if width == WIDE else [(np.flatnonzero(whole), False), (np.flatnonzero(~whole), True)]:
+                        doc, first, index = of_items(width, only)
+                        if not len(of_d) or not len(doc):
+                            continue
+                        i, j, near = index.near(sums[f[of_d] + width] - sums[f[of_d]], cosine)
+                        lcs = np.zeros(len(i), np.int64)
+                        for k in range(0, len(i), 20_000):
+                            x, y = first[j[k : k + 20_000]], f[of_d[i[k : k + 20_000]]]
+                            lcs[k : k + 20_000] = lcs_lengths(w[x[:, None] + np.arange(width)], words[y[:, None] + np.arange(width)])
+                        ok = lcs >= common * width
+                        i, j, lcs, near = i[ok], j[ok], lcs[ok], near[ok]
+                        if not len(i):
                             continue
-                        mine = _unit(sums[f[of_d] + width] - sums[f[of_d]])
-                        for s in range(0, len(mine), 4096):
-                            i, j = np.nonzero(mine[s : s + 4096] @ unit[of_i].T >= cosine)
-                            i, j = i + s, of_i[j]
-                            lcs = np.zeros(len(i), np.int64)
-                            for k in range(0, len(i), 20_000):
-                                x, y = first[j[k : k + 20_000]], f[of_d[i[k : k + 20_000]]]
-                                lcs[k : k + 20_000] = lcs_lengths(w[x[:, None] + np.arange(width)], words[y[:, None] + np.arange(width)])
-                            ok = lcs >= common * width
-                            i, j, lcs = i[ok], j[ok], lcs[ok]
-                            if not len(i):
-                                continue
-                            found = []
-                            of = d[of_d[i]]
-                            for x, y in zip(of.tolist(), doc[j].tolist(), strict=True):
-                                own = words[start[x] : start[x] + n[x]]
-                                found.append(None if not len(answers[y]) else bool(np.isin(answers[y], own).all()))
-                            yield pa.RecordBatch.from_arrays([pa.array(ids[doc[j]]), pa.array(doc_ids[a + of].astype(np.int64)), pa.array((mine[i] * unit[j]).sum(1).astype(np.float64)), pa.array(lcs.astype(np.int32)), pa.array(found, pa.bool_())], ["item_id", "doc_id", "cosine", "common_words", "answer_found"])
+                        found = []
+                        of = d[of_d[i]]
+                        for x, y in zip(of.tolist(), doc[j].tolist(), strict=True):
+                            own = words[start[x] : start[x] + n[x]]
+                            found.append(None if not len(answers[y]) else bool(np.isin(answers[y], own).all()))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[doc[j]]), pa.array(doc_ids[a + of].astype(np.int64)), pa.array(near.astype(np.float64)), pa.array(lcs.astype(np.int32)), pa.array(found, pa.bool_())], ["item_id", "doc_id", "cosine", "common_words", "answer_found"])
 
     return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(find, "item_id long, doc_id long, cosine double, common_words int, answer_found boolean")

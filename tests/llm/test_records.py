@@ -180,3 +180,50 @@ def test_paraphrases_of_short_texts_and_at_ends(spark):
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)] + [(98, None), (99, "")], "doc_id long, text string")
     q = spark.createDataFrame([(i, " ".join(p), "") for i, p in enumerate(prompts)], "item_id long, prompt string, answer string")
     assert {(x, y) for x, y, *_ in rows(leakage.paraphrases(d, q))} == {(i, i) for i in range(5)} | {(4, 5)}
+
+
+def test_paraphrase_recall_against_brute_force(spark):
+    """Planted paraphrases, and all pairs of windows that a search over all would find."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(1500)]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    prompts = [text(r.randrange(24, 60)) for _ in range(60)]
+
+    def reworded(p):
+        out = [x if r.random() > 0.12 else r.choice(words) for x in p]
+        return out[: len(out) // 2] + [r.choice(words)] + out[len(out) // 2 :]
+
+    docs = [text(r.randrange(20, 90)) + reworded(p) + text(r.randrange(20, 90)) for p in prompts] + [text(150) for _ in range(60)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(p), "") for i, p in enumerate(prompts)], "item_id long, prompt string, answer string")
+    space = leakage.fit(d)
+    found = {(x, y) for x, y, *_ in rows(leakage.paraphrases(d, q, space=space))}
+    assert len([i for i in range(60) if (i, i) in found]) >= 54 and all(x == y for x, y in found)
+    # The index against all pairs of windows.
+    w, size = leakage._scan([" ".join(p) for p in prompts])
+    v, n = leakage._scan([" ".join(t) for t in docs])
+    f, g = leakage.spans(size, 24, 6)[1], leakage.spans(n, 24, 12)[1]
+    a, b = leakage._sums(space, w), leakage._sums(space, v)
+    mine, item = b[g + 24] - b[g], a[f + 24] - a[f]
+    near = leakage._unit(mine) @ leakage._unit(item).T >= 0.8
+    i, j, _ = leakage.Index(item, leakage.BANDS, leakage.SIGNS).near(mine, 0.8)
+    assert near[i, j].all() and len(i) >= 0.9 * near.sum() > 30
+    # Without the latent space nothing is met.
+    none = leakage.Space(np.zeros_like(space.terms), space.energy)
+    assert rows(leakage.leaked_runs(d, q, space=none)) == []
+
+
+def test_runs_of_thirteen_at_every_place(spark):
+    r = random.Random(5)
+    words = [f"v{i}" for i in range(900)]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    prompt = text(45)
+    docs, want = [], []
+    for k in range(60):
+        n, at = (13, 12)[k % 2], r.randrange(0, 33)
+        docs.append(text(r.randrange(0, 30)) + prompt[at : at + n] + text(r.randrange(0, 30)))
+        if n == 13:
+            want.append((7, k))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    q = spark.createDataFrame([(7, " ".join(prompt), ""), (8, "short", "x"), (9, None, None)], "item_id long, prompt string, answer string")
+    assert set(rows(leakage.leaked_runs(d, q))) == set(want)
