@@ -35,8 +35,8 @@ PASSAGE = 32  # words of a passage
 RUN = 13
 WIDE, STEP = 24, 12
 COSINE = 0.8
-BANDS, SIGNS = 24, 8  # of the fuzzy search: so many sets of so many signs
-EXACT_BANDS, EXACT_SIGNS = 2, 16  # of the search for equal words, which agree in all signs
+BANDS, SIGNS = 80, 12  # of the fuzzy search: so many sets of so many signs
+EXACT_BANDS, EXACT_SIGNS, EXACT_COSINE = 2, 24, 0.95  # of the search for equal words, whose vectors are equal
 PAIRS = 200_000  # pairs of windows compared in one go
 COMMON = 0.6
 BLOCK = 5000
@@ -138,6 +138,15 @@ def _sums(space: Space, words: np.ndarray) -> np.ndarray:
     return sums
 
 
+def _vectors(space: Space, words: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """The latent vectors of the windows of ``width`` words at the places ``first``."""
+    term = (words % bs.U64(TERMS)).astype(np.int32)
+    out = np.zeros((len(first), RANK), np.int32)
+    for k in range(width):
+        out += space.terms[term[first + k]]
+    return out
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     v = v.astype(np.float32)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -164,22 +173,24 @@ class Index:
     def __init__(self, vectors: np.ndarray, bands: int, signs: int) -> None:
         r = np.random.default_rng(11)
         self.unit = _unit(vectors)
-        self.sets = [r.permutation(RANK)[:signs] for _ in range(bands)]
-        keys = [self._key(vectors, s) for s in self.sets]
-        self.order = [np.argsort(k, kind="stable") for k in keys]
-        self.keys = [k[o] for k, o in zip(keys, self.order, strict=True)]
+        self.sets = np.zeros((RANK, bands), np.float32)  # a power of two for each sign of a band
+        for k in range(bands):
+            self.sets[r.permutation(RANK)[:signs], k] = 2.0 ** np.arange(signs)
+        keys = self._keys(vectors)
+        self.order = np.argsort(keys, axis=0, kind="stable")
+        self.keys = np.take_along_axis(keys, self.order, 0)
 
-    @staticmethod
-    def _key(vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        return (vectors[:, chosen] > 0) @ (1 << np.arange(len(chosen)))
+    def _keys(self, vectors: np.ndarray) -> np.ndarray:
+        return ((vectors > 0).astype(np.float32) @ self.sets).astype(np.int32)
 
     def near(self, vectors: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in vectors, place in the index, cosine) of the pairs that share a band and are as near as asked for, each once."""
         unit = _unit(vectors)
         held = []
-        for s, o, known in zip(self.sets, self.order, self.keys, strict=True):
-            for i, j in _ranges(known, self._key(vectors, s)):
-                j = o[j]
+        keys = self._keys(vectors)
+        for k in range(keys.shape[1]):
+            for i, j in _ranges(self.keys[:, k], keys[:, k]):
+                j = self.order[j, k]
                 c = np.einsum("ij,ij->i", unit[i], self.unit[j])
                 ok = c >= cosine - 1e-6
                 held.append((i[ok], j[ok], c[ok]))
@@ -233,8 +244,7 @@ def _leaked_block(documents: DataFrame, block: list[tuple[int, str, str]], run:
     width = (run + 1) // 2  # any run holds a window of this width at a multiple of it
     w, size = _scan([p for _, p, _ in block])
     doc, first = spans(size, width, 1)
-    sums = _sums(space, w)
-    index = Index(sums[first + width] - sums[first], EXACT_BANDS, EXACT_SIGNS)
+    index = Index(_vectors(space, w, first, width), EXACT_BANDS, EXACT_SIGNS)
     ids = np.array([i for i, _, _ in block], np.int64)
     item_start = np.cumsum(size) - size
     wide = 2 * run - width  # any run that holds the window lies within so many words around it
@@ -245,9 +255,9 @@ def _leaked_block(documents: DataFrame, block: list[tuple[int, str, str]], run:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, b in bs.chunks((len(t or "") + 1 for t in texts), 500_000):
                 words, n = _scan(texts[a:b])
-                start, mine = np.cumsum(n) - n, _sums(space, words)
+                start = np.cumsum(n) - n
                 d, f = aligned(n, width)
-                i, j, _ = index.near(mine[f + width] - mine[f], COSINE)
+                i, j, _ = index.near(_vectors(space, words, f, width), EXACT_COSINE)
                 if not len(i):
                     continue
                 back = run - width

@@ -1,10 +1,10 @@
 """Problem 10: text that looks the same but is written with other characters.
 
-The vocabulary of the corpus is kept as tries. A token is run through the trie by an automaton with
-weights: look-alike letters, forms of width and ligatures, split accents and characters that don't show cost
-nothing, every other edit costs one, and the budget is zero by default. Of the words reached at no cost
-the most frequent is the canonical spelling; what meets no word is normalized by table. Both ways give
-one form to all spellings that look the same.
+The vocabulary of the corpus is kept as a trie whose edges are letters and accents as they look. A token is read as it stands,
+character by character, by an automaton with weights: a character may follow any edge that it looks like (letters of other
+scripts, forms of width), several edges (ligatures, composed accents) or none (what does not show) at no cost; every other
+edit costs one, and the budget is zero by default. Of the words at the node reached, the most frequent is the canonical spelling.
+What meets no word is normalized by table. Both ways give one form to all spellings that look the same.
 
 Kept apart are case, visible accents, digits, words and line breaks.
 """
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lorekeel.session import persist_table
 
-VOCABULARY = 100_000  # words kept, the most frequent ones: this bounds what is sent to the tasks
-LONGEST_WORD = 40
+VOCABULARY = 100_000  # the most frequent words, which go to the tasks; whether a word is among them changes no result
+EXCEPTIONS = 200_000  # words whose canonical spelling is not that of the table: all of them go, more are refused
 
 # Letters of other scripts that have the shape of a Latin letter.
 _SHAPES = {
@@ -70,9 +70,25 @@ _CYRILLIC = {v: k for k, v in ZERO_COST.items() if "Ѐ" <= k <= "ӿ" and k not i
 _GREEK = {v: k for k, v in ZERO_COST.items() if "Ͱ" <= k <= "Ͽ" and k not in "ϲϳϹͿ"}
 _OWN_CYRILLIC = re.compile("[" + "".join(chr(c) for c in range(0x400, 0x500) if chr(c) not in ZERO_COST) + "]")
 _OWN_GREEK = re.compile("[" + "".join(chr(c) for c in range(0x370, 0x400) if chr(c) not in ZERO_COST and chr(c).isalpha()) + "]")
-_TOKEN = re.compile(r"[^\W_]+")
-_T = r"[^\s!-/:-@\[-`{-~]"
+_BETWEEN = re.escape("".join(c for c, looks in ZERO_COST.items() if looks and not looks.isalnum()))  # odd blanks, hyphens, marks
+_T = rf"[^\s!-/:-@\[-`{{-~{_BETWEEN}]"
 _ODD_TOKEN = re.compile(rf"(?<!{_T})[0-9A-Za-z]*+(?=[^\x00-\x7f]){_T}+")
+_STEPS: dict[str, str] = {}
+
+
+def steps(char: str) -> str:
+    """The edges that a character follows at no cost: what it looks like, accents apart; '' if it does not show."""
+    out = _STEPS.get(char)
+    if out is None:
+        looks = "".join(ZERO_COST.get(x, x) for x in unicodedata.normalize("NFD", ZERO_COST.get(char, char)))
+        out = _STEPS[char] = unicodedata.normalize("NFD", looks)
+    return out
+
+
+def path(token: str) -> str:
+    """The edges of a whole token; several accents on one letter follow in one order."""
+    out = "".join([steps(c) for c in token])
+    return out if out.isascii() else unicodedata.normalize("NFD", out)
 
 
 def shape(text: str) -> str:
@@ -106,32 +122,37 @@ class Trie:
     def add(self, word: str) -> None:
         """Words must come in order of preference: the first one at a node stays."""
         at = self
-        for c in shape(word):
+        for c in path(word):
             at = at.next.setdefault(c, Trie())
         if at.word is None:
             at.word = word
 
     def search(self, token: str, budget: int = 0) -> str | None:
         """The word at the least cost within the budget; ties go to the first in order of the alphabet."""
-        steps = shape(token)
         if not budget:
             at: Trie | None = self
-            for c in steps:
-                at = at.next.get(c)
-                if at is None:
-                    return None
+            last = ""
+            for char in token:
+                for c in steps(char):
+                    if unicodedata.combining(c) and unicodedata.combining(last or c) > unicodedata.combining(c):
+                        return self.search(path(token)) if path(token) != token else None
+                    at, last = at.next.get(c), c
+                    if at is None:
+                        return None
             return at.word
+        # With a budget, all ways to read the token are followed.
+        edges = path(token)
         # States are (node, place in the token) with the least cost that reaches them.
         best: tuple[int, str] | None = None
         layer: dict[tuple[int, int], tuple[int, Trie]] = {(id(self), 0): (0, self)}
         todo = [(0, self, 0)]
         while todo:
             cost, node, i = todo.pop()
-            if i == len(steps) and node.word is not None and (best is None or (cost, node.word) < best):
+            if i == len(edges) and node.word is not None and (best is None or (cost, node.word) < best):
                 best = (cost, node.word)
             moves = []
-            if i < len(steps):
-                moves += [(cost + (c != steps[i]), n, i + 1) for c, n in node.next.items()]
+            if i < len(edges):
+                moves += [(cost + (c != edges[i]), n, i + 1) for c, n in node.next.items()]
                 moves.append((cost + 1, node, i + 1))
             moves += [(cost + 1, n, i) for n in node.next.values()]
             for c, n, j in moves:
@@ -160,50 +181,47 @@ class Canon:
         return out
 
     def text(self, text: str | None) -> str | None:
-        """One form for all texts that look the same; NULL stays NULL."""
-        if text is None:
-            return None
-        looks = shape(text)
-        # A token in plain ASCII is its own shape, and the trie may only turn it into a look-alike
-        # spelling where the vocabulary has one; those words are few and known.
-        if looks.isascii() and not self.foreign:
-            return looks
-        return _TOKEN.sub(lambda m: self.token(m.group()), looks) if self.foreign else _ODD_TOKEN.sub(lambda m: self.token(m.group()), looks)
-
-    @property
-    def foreign(self) -> bool:
-        """Whether some ASCII shape has a canonical spelling in another script."""
-        if not hasattr(self, "_foreign"):
-            todo, self._foreign = [self.trie], False
-            while todo:
-                t = todo.pop()
-                if t.word is not None and not t.word.isascii() and shape(t.word).isascii():
-                    self._foreign = True
-                    break
-                todo += t.next.values()
-        return self._foreign
+        """One form for all texts that look the same; NULL stays NULL.
+
+        Tokens beyond ASCII go through the trie as they stand; what is between them goes by table. An ASCII token is what it looks
+        like, and no canonical spelling in another script looks so (see ``_clean``).
+        """
+        if text is None or text.isascii():
+            return text
+        out, at = [], 0
+        for m in _ODD_TOKEN.finditer(text):
+            out += [shape(text[at : m.start()]), self.token(m.group())]
+            at = m.end()
+        out.append(shape(text[at:]))
+        joined = "".join(out)
+        return joined if joined.isascii() else unicodedata.normalize("NFC", joined)
 
 
 def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> list[str]:
     """Spellings from which canonical ones are chosen, the most frequent first: words of one script in composed form.
 
     Only words that are not plain ASCII, and their ASCII look-alikes, can be chosen against each other, so
-    the counts are of words with a letter beyond ASCII and of the ASCII words of the same shape. Counts are of
-    all documents; the list is bounded by ``size`` words of at most LONGEST_WORD letters.
+    the counts are of words with a letter beyond ASCII. Counts are of all documents and words. Of the words that look alike the most
+    frequent is canonical. The trie has the ``size`` most frequent of these, and all for which the table gives another spelling: a
+    word that is in neither gets the same from the table.
     """
 
     def odd(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        clean: dict[str, bool] = {}
         for batch in it:
             for t in batch.column(0).to_pylist():
                 if t and not t.isascii():
-                    seen.update(w for w in _ODD_TOKEN.findall(t) if len(w) <= LONGEST_WORD)
-        words = [(shape(w), w, n) for w, n in seen.items() if _clean(w)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in words], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["looks", "word", "n"])
-
-    counted = documents.select("text").mapInArrow(odd, "looks string, word string, n long").groupBy("looks", "word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(size).collect()
-    return [r["word"] for r in rows]
+                    seen.update(_ODD_TOKEN.findall(t))
+        words = [(looks, w, n, by_table(looks) == w) for w, n in seen.items() if clean.setdefault(w, _clean(w)) for looks in (shape(w),)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in words], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.bool_()))], ["looks", "word", "n", "same"])
+
+    counted = documents.select("text").mapInArrow(odd, "looks string, word string, n long, same boolean").groupBy("looks", "word", "same").agg(F.sum("n").alias("n"))
+    best = persist_table(counted.groupBy("looks").agg(F.min(F.struct((-F.col("n")).alias("n"), "word", "same")).alias("b")).select("b.n", "b.word", "b.same"), "spellings")
+    rows = best.where("same").orderBy("n", "word").limit(size).select("n", "word").unionByName(best.where("not same").select("n", "word").limit(EXCEPTIONS + 1)).collect()
+    if sum(1 for _ in rows) > size + EXCEPTIONS:
+        raise ValueError(f"more than {EXCEPTIONS} words that the table spells otherwise")
+    return [r["word"] for r in sorted(rows)]
 
 
 def _clean(word: str) -> bool:

@@ -218,12 +218,13 @@ def test_runs_of_thirteen_at_every_place(spark):
     words = [f"v{i}" for i in range(900)]
     text = lambda n: [r.choice(words) for _ in range(n)]
     prompt = text(45)
-    docs, want = [], []
+    docs = []
     for k in range(60):
         n, at = (13, 12)[k % 2], r.randrange(0, 33)
         docs.append(text(r.randrange(0, 30)) + prompt[at : at + n] + text(r.randrange(0, 30)))
-        if n == 13:
-            want.append((7, k))
+    runs = {tuple(prompt[i : i + 13]) for i in range(33)}
+    want = [(7, k) for k, t in enumerate(docs) if any(tuple(t[i : i + 13]) in runs for i in range(len(t) - 12))]
+    assert 30 <= len(want) < 40
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
     q = spark.createDataFrame([(7, " ".join(prompt), ""), (8, "short", "x"), (9, None, None)], "item_id long, prompt string, answer string")
     assert set(rows(leakage.leaked_runs(d, q))) == set(want)
