@@ -62,3 +62,59 @@ def context_block(chosen: DataFrame, entities: DataFrame) -> DataFrame:
     rows = chosen.join(entities, "entity_id").select("chunk_id", "rank", entity_block(F.col("rank")).alias("b"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"]), "")
     return rows.groupBy("chunk_id").agg(F.concat(F.lit(HEADER), text).alias("block"))
+
+
+# ---------------------------------------------------------------- questions
+# The headings of the parts of a question.
+SEEN, LISTED, TEXT, UNHELD = "PREVIOUSLY RESOLVED ENTITIES:", "ENTITIES IN THIS TEXT:", "TEXT:", "NEW — not yet in KG"
+
+
+def _once(pairs: list[tuple[str, str]]) -> list[str]:
+    """A line for each (form, id), the first form of an id."""
+    forms: dict[str, str] = {}
+    for form, key in pairs:
+        forms.setdefault(key, form)
+    return [f"- {form} (id={key})" for key, form in forms.items()]
+
+
+def first_question(block: str, text: str, before: list[tuple[str, str]] | None = None) -> str:
+    """Which entities does a text name: the candidates, those resolved in earlier chunks as (form, id), the text; empty parts are left out."""
+    parts = [block] if block else []
+    if before:
+        parts.append("\n".join([SEEN, *_once(before)]))
+    return "\n\n".join([*parts, f"{TEXT}\n{text}"])
+
+
+def listed_entities(resolved: list[tuple[str, str]], new: list[tuple[str, str, str | None]] | None = None) -> str:
+    """The entities of a text: resolved ones as (form, id), each id once, then proposals as (name, type, subtype); '' for none."""
+    if not resolved and not new:
+        return ""
+    kinds = [f"- {name} ({' / '.join(x for x in (kind, sub) if x)}, {UNHELD})" for name, kind, sub in new or ()]
+    return "\n".join([LISTED, "", *_once(resolved), *kinds])
+
+
+def second_question(block: str, text: str) -> str:
+    """Which relationships does a text state: the entities, the text."""
+    return "\n\n".join([*([block] if block else []), f"{TEXT}\n{text}"])
+
+
+def seen_lines(resolved: DataFrame) -> DataFrame:
+    """(chunk_id, block): the entities resolved before a chunk, as the question shows them, in the order of ``pos``.
+
+    ``resolved``: chunk_id, pos, surface_form, entity_id; an id counts at its first place.
+    """
+    first = resolved.groupBy("chunk_id", "entity_id").agg(F.min(F.struct("pos", "surface_form")).alias("f"))
+    line = F.concat(F.lit("- "), F.col("f.surface_form"), F.lit(" (id="), F.col("entity_id"), F.lit(")"))
+    rows = first.select("chunk_id", F.col("f.pos").alias("pos"), line.alias("line")).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    return rows.select("chunk_id", F.concat(F.lit(SEEN + "\n"), F.array_join(F.col("l.line"), "\n")).alias("block"))
+
+
+def candidate_order(found: DataFrame) -> DataFrame:
+    """(chunk_id, entity_id, pos): the candidates of a chunk in the order of first sight, from 1.
+
+    ``found``: chunk_id, span_start, span_end, candidate_ids. Occurrences go by their start, the longer first; within one, its list.
+    """
+    each = found.select("chunk_id", "span_start", (-F.col("span_end")).alias("_e"), F.posexplode("candidate_ids").alias("_i", "entity_id"))
+    first = each.groupBy("chunk_id", "entity_id").agg(F.min(F.struct("span_start", "_e", "_i")).alias("f"))
+    w = Window.partitionBy("chunk_id").orderBy("f", "entity_id")
+    return first.select("chunk_id", "entity_id", F.row_number().over(w).alias("pos"))

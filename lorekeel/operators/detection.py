@@ -1,9 +1,9 @@
 """Dictionary matching: aliases of entities in text, resolved where one entity is meant.
 
-The dictionary is matched by one of two plans, which agree. The relational plan explodes the words of a
-text and joins them with the first words of the aliases, then looks at the text itself; it never leaves
-the JVM and has no bound on the dictionary. The automaton plan suits aliases of any form; its dictionary goes to every task,
-so it is used up to a checked size only.
+The dictionary is matched by one of two plans, which agree. The automaton plan reads every text once and shuffles none; its
+dictionary goes to every task, so it is used up to a checked size only. The relational plan explodes the distinct words of a
+text, joins them with the rarest words of the aliases, and brings all aliases that meet a text to it at once, so a text is
+shuffled once however many aliases it meets; it never leaves the JVM and has no bound on the dictionary.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeel import schemas
 from lorekeel.functions.columns import snippet
 
-WORD = r"[\p{L}\p{N}]+"
 AUTOMATON_ALIASES = 200_000
 
 
@@ -33,34 +32,45 @@ def candidates(d: DataFrame) -> DataFrame:
     return d.groupBy("alias").agg(F.sort_array(F.collect_set("entity_id")).alias("candidate_ids")).withColumn("candidates", F.size("candidate_ids"))
 
 
-def detect(documents: DataFrame, d: DataFrame) -> DataFrame:
+_TOKEN = r"([\p{L}\p{N}]+|[^\p{L}\p{N}\s])"
+
+
+def detect(documents: DataFrame, d: DataFrame, most: int = AUTOMATON_ALIASES) -> DataFrame:
     """(document_id, alias, span_start, span_end): every occurrence of an alias, without case, that no letter or digit touches.
 
-    Overlapping occurrences all count. Offsets are characters of the lower-cased text from 0, the end excluded.
-    A document is looked up by its distinct words, an alias by the word of it that fewest aliases have; only pairs
-    that meet there are compared with the text. Aliases without a letter or digit are left to the automaton.
+    Overlapping occurrences all count. Offsets are characters of the lower-cased text from 0, the end excluded. Blank aliases
+    and NULL texts have none. Up to ``most`` aliases go to the tasks as an automaton, more are joined.
+    """
+    d = d.where("trim(alias) != ''")
+    known = [r[0] for r in d.select("alias").distinct().limit(most + 1).collect()]
+    text = documents.where("text is not null and document_id is not null").select(F.col("document_id").cast("string").alias("document_id"), F.lower("text").alias("text"))
+    return _by_automaton(text, known) if len(known) <= most else detect_by_join(documents, d)
+
+
+def detect_by_join(documents: DataFrame, d: DataFrame) -> DataFrame:
+    """The same occurrences by joins, for dictionaries of any size.
+
+    A document is looked up by its distinct words and symbols, an alias by the one of it that fewest aliases have; the aliases
+    that meet a document there are compared with its text, in the row of the text.
     """
     text = documents.where("text is not null and document_id is not null").select("document_id", F.lower("text").alias("low"))
-    words = text.select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(f"({WORD})"), F.lit(1)))).alias("word"))
-    of_alias = d.select("alias").distinct().select("alias", F.explode(F.array_distinct(F.regexp_extract_all("alias", F.lit(f"({WORD})"), F.lit(1)))).alias("word"))
+    words = text.select("document_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(_TOKEN), F.lit(1)))).alias("word"))
+    of_alias = d.where("trim(alias) != ''").select("alias").distinct().select("alias", F.explode(F.array_distinct(F.regexp_extract_all("alias", F.lit(_TOKEN), F.lit(1)))).alias("word"))
     common = of_alias.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     keyed = of_alias.join(common, "word").groupBy("alias").agg(F.min(F.struct("n", "word")).alias("k")).select("alias", F.col("k.word").alias("word"))
-    pairs = words.join(keyed, "word").select("document_id", "alias")
-    met = pairs.join(text, "document_id").where(F.contains("low", "alias"))
-    # The text parted before every occurrence: the lengths of the parts give the places.
+    met = words.join(keyed, "word").groupBy("document_id").agg(F.collect_set("alias").alias("aliases"))
+    here = text.join(met, "document_id").select("document_id", "low", F.explode("aliases").alias("alias")).where(F.contains("low", "alias"))
+    # The text parted before every occurrence: each part but the first begins one, and the lengths give the places.
     quoted = F.concat(F.lit(r"(?=\Q"), F.col("alias"), F.lit(r"\E)"))
-    parts = met.select("document_id", "alias", F.length("low").alias("n"), F.expr("substring(low, 1, length(alias))").alias("head"), F.posexplode(F.split("low", quoted, -1)).alias("i", "part"))
-    w = Window.partitionBy("document_id", "alias").orderBy("i")
-    at = parts.withColumn("span_start", F.coalesce(F.sum(F.length("part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    # Every part but the first begins an occurrence. Where occurrences overlap, a part is shorter than the alias and the
-    # character after it lies in a later part; the text itself is asked for it.
-    at = at.withColumn("before", F.lag(F.expr("substring(part, -1, 1)")).over(w))
-    at = at.withColumn("span_end", (F.col("span_start") + F.length("alias")).cast("int")).withColumn("next", F.lead("part").over(w))
-    at = at.where((F.col("i") > 0) | (F.col("head") == F.col("alias")))
-    at = at.withColumn("after", F.expr("substring(concat(part, coalesce(next, '')), length(alias) + 1, 1)"))
+    sizes = F.transform(F.split("low", quoted, -1), lambda x: F.length(x))
+    # A first part that is itself an occurrence has no place before it: split does not part a text at its beginning.
+    first = F.when(F.startswith("low", "alias"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    later = F.aggregate(F.slice(sizes, 1, F.size(sizes) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"] + x)).alias("all")), lambda a: a["all"])
+    at = here.select("document_id", "low", "alias", F.explode(F.array_distinct(F.concat(first, later))).alias("span_start"))
+    at = at.withColumn("span_end", (F.col("span_start") + F.length("alias")).cast("int"))
     inside = lambda c: c.rlike(r"^[\p{L}\p{N}]")
-    left = (F.col("span_start") == 0) | ~inside(F.col("before")) | ~inside(F.expr("substring(alias, 1, 1)"))
-    right = (F.col("span_end") >= F.col("n")) | ~inside(F.col("after")) | ~inside(F.expr("substring(alias, -1, 1)"))
+    left = (F.col("span_start") == 0) | ~inside(F.expr("substring(low, span_start, 1)")) | ~inside(F.expr("substring(alias, 1, 1)"))
+    right = (F.col("span_end") >= F.length("low")) | ~inside(F.expr("substring(low, span_end + 1, 1)")) | ~inside(F.expr("substring(alias, -1, 1)"))
     return at.where(left & right).select("document_id", "alias", "span_start", "span_end")
 
 
@@ -93,7 +103,10 @@ def detect_by_automaton(documents: DataFrame, d: DataFrame, most: int = AUTOMATO
     known = [r[0] for r in d.select("alias").distinct().limit(most + 1).collect()]
     if len(known) > most:
         raise ValueError(f"more than {most} aliases: use detect()")
+    return _by_automaton(documents.select(F.col("document_id").cast("string").alias("document_id"), "text"), known)
+
 
+def _by_automaton(texts: DataFrame, known: list[str]) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(known)
         for batch in it:
@@ -103,7 +116,7 @@ def detect_by_automaton(documents: DataFrame, d: DataFrame, most: int = AUTOMATO
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["document_id", "alias", "span_start", "span_end"])
 
-    return documents.select(F.col("document_id").cast("string").alias("document_id"), "text").mapInArrow(run, "document_id string, alias string, span_start int, span_end int")
+    return texts.mapInArrow(run, "document_id string, alias string, span_start int, span_end int")
 
 
 def no_mentions(documents: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeel.errors import EntityNotFound, ResolutionAmbiguous, RevisionNotFound, ValidationError
 from lorekeel.session import persist_table
 
 EDGE_KEY = ("source_id", "target_id", "relation_type", "valid_from")
@@ -59,6 +60,40 @@ def k_hop(relationships: DataFrame, root: str, hops: int, least: float | None =
     return nodes, met.distinct() if met is not None else edges.limit(0)
 
 
+def root_of(entities: DataFrame, entity_id: str | None = None, name: str | None = None) -> str:
+    """The id of the one entity a traversal starts at; an unknown one, or a name (without case) of several, is an error."""
+    if (entity_id is None) == (name is None):
+        raise ValidationError("give either an id or a name")
+    rows = entities.where(F.col("entity_id") == entity_id if entity_id is not None else F.lower("canonical_name") == name.lower()).select("entity_id", "canonical_name").distinct().orderBy("entity_id").limit(6).collect()
+    if not rows:
+        raise EntityNotFound(entity_id or name)
+    if len({r[0] for r in rows}) > 1:
+        raise ResolutionAmbiguous(f"{name}: " + ", ".join(f"{r[0]} {r[1]}" for r in rows[:5]))
+    return rows[0][0]
+
+
+def subgraph(entities: DataFrame, aliases: DataFrame, relationships: DataFrame, root: str, hops: int, least: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The neighbourhood of a root: entities (position, .., aliases), edges (position, ..), documents of the edges.
+
+    Entities are the root, then the others by name; ids without a record are left out. Edges go by their key, NULL dates first.
+    """
+    if hops < 0:
+        raise ValidationError("hops must not be negative")
+    nodes, met = k_hop(relationships, root, hops, least)
+    names = aliases.groupBy("entity_id").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
+    near = entities.join(F.broadcast(nodes) if hops == 0 else nodes, "entity_id").join(names, "entity_id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    at = lambda *c: F.row_number().over(Window.orderBy(*c))
+    near = near.select(at(F.col("entity_id") != root, "canonical_name", "entity_id").alias("position"), "entity_id", "canonical_name", "entity_type", "subtype", "description", "aliases", "status", "depth")
+    cond = F.lit(True)
+    for c in EDGE_KEY:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    keys = met.select(*[F.col(c).alias(f"_{c}") for c in EDGE_KEY])
+    rows = relationships.where(F.col("confidence") >= least) if least is not None else relationships
+    edges = dedup_edges(rows.join(keys, cond, "left_semi"))
+    edges = edges.withColumn("position", at("source_id", "target_id", "relation_type", F.col("valid_from").asc_nulls_first()))
+    return near, edges, edges.where("document_id is not null").select("document_id").distinct()
+
+
 def resolve_root(entities: DataFrame, name: str) -> DataFrame:
     """The entities a traversal may start at: those of that id or, without case, that name."""
     return entities.where((F.col("entity_id") == name) | (F.lower("canonical_name") == name.lower()))
@@ -88,23 +123,39 @@ def state_at(log: DataFrame, moment: Column) -> DataFrame:
     return log.where(F.col("changed_at") <= moment).groupBy("entity_id").agg(last).select("entity_id", "r.*")
 
 
-def revert(log: DataFrame, entity_id: str, history_id: int, now: Column) -> DataFrame:
-    """An old revision written as the newest one, with operation revert."""
+def revision(log: DataFrame, entity_id: str, history_id: int) -> DataFrame:
+    """One revision of an entity; an unknown one is an error."""
+    one = log.where((F.col("entity_id") == entity_id) & (F.col("history_id") == history_id))
+    if not one.limit(1).count():
+        raise RevisionNotFound(f"{entity_id} {history_id}")
+    return one
+
+
+def revert(log: DataFrame, entity_id: str, history_id: int | DataFrame, now: Column) -> DataFrame:
+    """An old revision written as the newest one, with operation revert; its number, or a frame of one row that has it."""
     top = log.agg(F.max("history_id").alias("top"))
-    old = log.where((F.col("entity_id") == entity_id) & (F.col("history_id") == history_id)).drop("history_id")
+    old = log.where(F.col("entity_id") == entity_id)
+    old = (old.where(F.col("history_id") == history_id) if isinstance(history_id, int) else old.join(F.broadcast(history_id), "history_id", "left_semi")).drop("history_id")
     return old.crossJoin(F.broadcast(top)).withColumn("history_id", F.col("top") + 1).drop("top").withColumn("operation", F.lit("revert")).withColumn("changed_at", now).select(log.columns)
 
 
 # ---------------------------------------------------------------- merges
-def closed_merges(mapping: DataFrame, rounds: int = 40) -> DataFrame:
-    """(old_id, new_id) with chains followed to their end; ids in a circle stay as they are."""
+def closed_merges(mapping: DataFrame) -> DataFrame:
+    """(old_id, new_id) with chains followed to their end; ids in a circle, or that lead into one, stay as they are.
+
+    Each round doubles the steps taken. Of a chain that ends, some id arrives in every round, so once a round brings
+    none to its end, all that still move go round in circles.
+    """
     now = persist_table(mapping.where("old_id != new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id")), "merges")
-    for _ in range(rounds):
+    before = -1
+    while True:
         nxt = now.join(now.toDF("_old", "_new"), F.col("new_id") == F.col("_old"), "left").select("old_id", F.coalesce("_new", "new_id").alias("to"), F.col("_new").isNotNull().alias("moved"))
         nxt = persist_table(nxt, "merges")
         now = nxt.select("old_id", F.col("to").alias("new_id"))
-        if not nxt.where("moved").limit(1).count():
+        moving = nxt.where("moved").count()
+        if moving in (0, before):
             break
+        before = moving
     circle = now.join(now.select(F.col("old_id").alias("_o")), F.col("new_id") == F.col("_o"), "left_semi")
     return now.join(circle.select("old_id"), "old_id", "left_anti")
 
@@ -162,6 +213,14 @@ def checked(relationships: DataFrame, entities: DataFrame, rules: DataFrame) ->
     return out.where("_label is null").withColumn("problem", F.when(F.col("_s").isNull(), "pair").otherwise("label")).drop("_s", "_t", "_ls", "_lt", "_label")
 
 
+def detail_counts(entities: DataFrame, relationships: DataFrame, provenance: DataFrame) -> DataFrame:
+    """(entity_id, relationships, mentions) of every entity; a loop counts once. Ends are counted before the join, so a hot one is one row a task."""
+    ends = relationships.select("source_id", "target_id").select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("entity_id"))
+    r = ends.groupBy("entity_id").agg(F.count(F.lit(1)).alias("relationships"))
+    p = provenance.where("entity_id is not null").groupBy("entity_id").agg(F.count(F.lit(1)).alias("mentions"))
+    return entities.select("entity_id").join(r, "entity_id", "left").join(p, "entity_id", "left").na.fill(0, ["relationships", "mentions"])
+
+
 def histogram(relationships: DataFrame) -> DataFrame:
     """(relation_type, edges, mean_confidence); NULL confidence does not count in the mean."""
     return relationships.groupBy("relation_type").agg(F.count(F.lit(1)).alias("edges"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))

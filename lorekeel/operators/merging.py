@@ -125,3 +125,55 @@ def compare_snapshots(old: DataFrame, new: DataFrame, most_drop: float, most_col
     return both.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def quality_profile(entities: DataFrame, relationships_: DataFrame, provenance: DataFrame, collided: DataFrame, top: int = 10) -> DataFrame:
+    """(section, key, detail, value): the snapshot in long form.
+
+    Sections: total (entities, relationships, mentions, alias_collisions), type, subtype (detail; '' where there is none),
+    collision (the ``top`` aliases on most entities, ties by alias; detail: their types, value: their entities).
+    """
+    n = lambda df, key: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit("total").alias("section"), F.lit(key).alias("key"), F.lit("").alias("detail"), "value")
+    kinds = entities.groupBy("entity_type").agg(F.count(F.lit(1)).alias("value")).select(F.lit("type"), F.col("entity_type"), F.lit(""), "value")
+    subs = entities.groupBy("entity_type", F.coalesce("subtype", F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("value")).select(F.lit("subtype"), F.col("entity_type"), F.col("s"), "value")
+    one = collided.join(entities.select("entity_id", "entity_type"), "entity_id").groupBy("alias").agg(F.countDistinct("entity_id").alias("value"), F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("t"))
+    worst = one.orderBy(F.desc("value"), "alias").limit(top).select(F.lit("collision"), F.col("alias"), F.col("t"), "value")
+    totals = n(entities, "entities").unionAll(n(relationships_, "relationships")).unionAll(n(provenance, "mentions")).unionAll(n(one, "alias_collisions"))
+    return totals.unionAll(kinds).unionAll(subs).unionAll(worst)
+
+
+def profile_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(section, key, detail, before, after, delta) of two profiles, without their collisions; what one of them lacks is 0."""
+    on = ["section", "key", "detail"]
+    o, k = (p.where("section != 'collision'").select(*on, F.col("value").alias(c)) for p, c in ((old, "before"), (new, "after")))
+    return o.join(k, on, "full").na.fill(0, ["before", "after"]).withColumn("delta", F.col("after") - F.col("before"))
+
+
+def breaches(old: DataFrame, new: DataFrame, most_drop: float = 10.0, most_collisions: int = 0) -> DataFrame:
+    """(rule, before, after, amount) of the bounds that a new profile breaks: entities fallen by more than ``most_drop`` percent, alias
+    collisions grown by more than ``most_collisions``. Reaching a bound breaks none; from 0 nothing falls."""
+    c = profile_changes(old, new).where("section = 'total'")
+    fall = c.where("key = 'entities' and before > 0").withColumn("amount", F.round(-F.col("delta") * 100.0 / F.col("before"), 6)).where(F.col("amount") > most_drop).select(F.lit("entity drop").alias("rule"), "before", "after", "amount")
+    more = c.where("key = 'alias_collisions'").where(F.col("delta") > most_collisions).select(F.lit("alias collisions").alias("rule"), "before", "after", F.col("delta").cast("double").alias("amount"))
+    return fall.unionAll(more)
+
+
+def named_diff(sides: DataFrame, entities: DataFrame, sample: int = 15) -> DataFrame:
+    """(side, n, names): of a diff of entities (entity_id, side) the size of each side, and the names of its first ``sample`` ids; ids
+    without a record have no name. Only the first ids of each task travel."""
+    n = sides.groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    few = None
+    for side in ("base", "head", "both"):
+        one = sides.where(F.col("side") == side).orderBy("entity_id").limit(sample)
+        few = one if few is None else few.unionByName(one)
+    named = few.join(entities.select("entity_id", "canonical_name"), "entity_id")
+    names = named.groupBy("side").agg(F.array_sort(F.collect_list(F.struct("entity_id", "canonical_name"))).alias("l"))
+    return n.join(names, "side", "left").select("side", "n", F.coalesce(F.array_join(F.col("l.canonical_name"), ", "), F.lit("")).alias("names"))
+
+
+def article_scores(found: DataFrame, expected: DataFrame, article: str, *key: str) -> DataFrame:
+    """(article, tp, fp, fn, precision, recall) for each article of either set."""
+    on = [article, *key]
+    f, e = found.select(*on).distinct().withColumn("_f", F.lit(1)), expected.select(*on).distinct().withColumn("_e", F.lit(1))
+    n = lambda c: F.count(F.when(c, 1))
+    one = f.join(e, on, "full").groupBy(article).agg(n(F.col("_f").isNotNull() & F.col("_e").isNotNull()).alias("tp"), n(F.col("_e").isNull()).alias("fp"), n(F.col("_f").isNull()).alias("fn"))
+    ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    return one.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 import json
+import re
+import urllib.request
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from datetime import date
 from typing import Protocol
 
 from lorekeel.schemas import ENTITY_TYPES
@@ -173,6 +177,15 @@ def confidence(value: object) -> float | None:
     return max(0.0, min(1.0, float(value)))
 
 
+def day(value: object) -> str | None:
+    """A date of a year, a month or a day as its first day; NULL for anything else."""
+    m = re.fullmatch(r"(\d{4})(?:-(\d{1,2})(?:-(\d{1,2}))?)?", value.strip()) if isinstance(value, str) else None
+    try:
+        return date(*(int(x or 1) for x in m.groups())).isoformat() if m else None
+    except ValueError:
+        return None
+
+
 def check_relationships(text: str, known_ids: Iterable[str], names: dict[str, str]) -> list[dict]:
     """Relationships of a response to the second question. Structure must be right; rows whose ends are unknown, or the
     same, are dropped, and an unknown qualifier is."""
@@ -189,5 +202,76 @@ def check_relationships(text: str, known_ids: Iterable[str], names: dict[str, st
         label, snippet = _filled(r, "relation_type", at), _filled(r, "context_snippet", at)
         if source is None or target is None or source == target:
             continue
-        out.append({"source_id": source, "target_id": target, "relation_type": label, "qualifier_id": end(r.get("qualifier")), "valid_from": r.get("valid_from"), "valid_until": r.get("valid_until"), "confidence": confidence(r.get("confidence")), "context_snippet": snippet})
+        out.append({"source_id": source, "target_id": target, "relation_type": label, "qualifier_id": end(r.get("qualifier")), "valid_from": day(r.get("valid_from")), "valid_until": day(r.get("valid_until")), "confidence": confidence(r.get("confidence")), "context_snippet": snippet})
     return out
+
+
+# ---------------------------------------------------------------- providers behind an address
+def try_import(name: str, needed_for: str):
+    """An optional module, or an error that says what it is for."""
+    try:
+        return importlib.import_module(name)
+    except ImportError as e:
+        raise ProviderError(f"{needed_for} needs the module {name}") from e
+
+
+def post_json(url: str, body: dict, headers: dict[str, str], timeout: float = 120.0) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return json.loads(answer.read())
+    except (OSError, ValueError) as e:
+        raise ProviderError(str(e)) from e
+
+
+@dataclass
+class Chat:
+    """A provider behind an address that takes messages: a hosted service (its key in ``headers``) or a server of this machine.
+
+    ``path_text``, ``path_in``, ``path_out`` say where the answer has its text and token counts; counts that are missing are 0.
+    ``send`` does the posting and can be replaced.
+    """
+
+    url: str
+    model_name: str
+    provider_name: str = "chat"
+    context_window: int = 8192
+    headers: dict[str, str] = field(default_factory=dict)
+    options: dict[str, object] = field(default_factory=dict)
+    system_field: str | None = None  # where the instruction goes; among the messages if None
+    path_text: tuple[str | int, ...] = ("message", "content")
+    path_in: tuple[str | int, ...] = ("prompt_eval_count",)
+    path_out: tuple[str | int, ...] = ("eval_count",)
+    send: Callable[[str, dict, dict[str, str]], dict] = post_json
+
+    def generate(self, prompt: str, system: str = "") -> tuple[str, Usage]:
+        said = [{"role": "user", "content": prompt}]
+        body: dict[str, object] = {"model": self.model_name, **self.options}
+        if system and self.system_field:
+            body[self.system_field] = system
+        elif system:
+            said.insert(0, {"role": "system", "content": system})
+        answer = self.send(self.url, body | {"messages": said}, self.headers)
+        text = _at(answer, self.path_text)
+        if not isinstance(text, str) or not text.strip():
+            raise ProviderError("an answer without text")
+        return text, Usage(*(n if isinstance(n := _at(answer, p), int) else 0 for p in (self.path_in, self.path_out)))
+
+
+def _at(value: object, path: tuple[str | int, ...]) -> object:
+    for k in path:
+        try:
+            value = value[k]  # type: ignore[index]
+        except (KeyError, IndexError, TypeError):
+            return None
+    return value
+
+
+def hosted(model: str, key: str, url: str, window: int = 200_000, most: int = 4096) -> Chat:
+    """A hosted service that takes the instruction apart from the messages and needs a key."""
+    return Chat(url, model, "hosted", window, {"x-api-key": key}, {"max_tokens": most}, "system", ("content", 0, "text"), ("usage", "input_tokens"), ("usage", "output_tokens"))
+
+
+def local(model: str, url: str = "http://localhost:11434/api/chat", window: int = 8192) -> Chat:
+    """A server of this machine that answers in JSON, at once and not in parts."""
+    return Chat(url, model, "local", window, {}, {"stream": False, "format": "json"})

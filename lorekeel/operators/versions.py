@@ -2,9 +2,9 @@
 
 Every row is an interval of one unit that starts when it takes effect. Rows are ordered by entity and
 time over all tasks, so one entity may span many of them. Neighbouring runs of intervals are merged
-pairwise where entity and payload are equal: within a task over a logarithmic number of rounds, each
-of which settles the joints between runs of twice the length, and then across tasks, where only the first
-and the last run of each task still have a joint to settle.
+pairwise where entity and payload are equal: each round puts two neighbouring stretches together, and the last run of the left
+one takes in the first run of the right one or does not. So it goes within a task, and then in the same way across tasks, where
+only the first and the last run of each task still have a neighbour to meet.
 """
 
 from __future__ import annotations
@@ -36,19 +36,24 @@ def payload(df: DataFrame, attributes: Sequence[str]) -> Column:
     return F.unhex(F.md5(F.to_json(F.struct(*cols), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}))) if cols else F.lit(b"")
 
 
-def joints_left(equal: np.ndarray) -> np.ndarray:
-    """Which places start a run, where ``equal[i]`` says that place i continues place i - 1.
+def merged_runs(entity: np.ndarray, payload: np.ndarray) -> np.ndarray:
+    """Which intervals start a run once neighbouring runs of equal entity and payload are merged, pairwise, in a logarithmic number
+    of rounds.
 
-    Runs of 1, 2, 4, ... places are merged pairwise: in a round, only the joints between a left and a right
-    run of that length are looked at, all at once.
+    A stretch of 1, 2, 4, ... intervals is told by its first interval and by the start of its last run. Where the last run of a
+    left stretch equals the first run of the right one, that run goes on, and where it was all the right one had, it is the last.
     """
-    n = len(equal)
+    n = len(entity)
     starts = np.ones(n, bool)
-    width = 1
-    while width < n:
-        joint = np.arange(width, n, 2 * width)
-        starts[joint] = ~equal[joint]
-        width *= 2
+    begin, last = np.arange(n), np.arange(n)
+    while len(begin) > 1:
+        left, right = np.arange(0, len(begin) - 1, 2), np.arange(1, len(begin), 2)
+        run, first = last[left], begin[right]
+        same = (entity[run] == entity[first]) & (payload[run] == payload[first])
+        starts[first[same]] = False
+        ends = np.where(same & (last[right] == first), run, last[right])
+        odd = len(begin) % 2 == 1
+        begin, last = np.append(begin[left], begin[-1:] if odd else []).astype(np.int64), np.append(ends, last[-1:] if odd else []).astype(np.int64)
     return starts
 
 
@@ -68,19 +73,19 @@ class _Edge:
 def _settle(edges: list[_Edge]) -> tuple[set[int], dict[int, int]]:
     """Tasks whose first run continues the run before it, and for each task the end of its last run.
 
-    Summaries are folded from the right: what a task's last run still needs is the first end after it.
+    The first and last runs of all tasks are merged like intervals; what a task's last run still needs is the first end after it.
     """
-    joined: set[int] = set()
+    runs = [(e.part, e.first_entity, e.first_payload, True) for e in edges] + [(e.part, e.last_entity, e.last_payload, False) for e in edges if e.first_end is not None]
+    runs.sort(key=lambda r: (r[0], not r[3]))
+    column = lambda k: np.array([r[k] for r in runs], object)
+    starts = merged_runs(column(1), column(2))
+    joined = {r[0] for r, new in zip(runs, starts.tolist(), strict=True) if r[3] and not new}
     ends: dict[int, int] = {}
     nxt: _Edge | None = None
     for e in reversed(edges):
         end = -1
         if nxt is not None and nxt.first_entity == e.last_entity:
-            if nxt.first_payload == e.last_payload:
-                joined.add(nxt.part)
-                end = nxt.first_end if nxt.first_end is not None else ends[nxt.part]
-            else:
-                end = nxt.first_start
+            end = nxt.first_start if nxt.part not in joined else nxt.first_end if nxt.first_end is not None else ends[nxt.part]
         ends[e.part] = end
         nxt = e
     return joined, ends
@@ -119,12 +124,9 @@ def version_history(
             e, t, p = batch.column("entity").to_numpy(zero_copy_only=False), batch.column("at").to_numpy(zero_copy_only=False), np.array(batch.column("payload").to_pylist(), object)
             same = np.zeros(len(e), bool)
             same[1:] = e[1:] == e[:-1]
-            equal = same.copy()
-            equal[1:] &= p[1:] == p[:-1]
+            starts = merged_runs(e, p)
             if open_ is not None and open_[0] == e[0]:
-                same[0], equal[0] = True, open_[2] == p[0]
-            starts = joints_left(equal)
-            starts[0] = not equal[0]
+                same[0], starts[0] = True, open_[2] != p[0]
             for i in np.flatnonzero(starts).tolist():
                 if open_ is not None:
                     out.append((part, seq, open_[0], open_[1], int(t[i]) if same[i] else -1, open_[2] if open_[3] else None, open_[3], False, None))

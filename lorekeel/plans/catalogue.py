@@ -112,8 +112,9 @@ def entity_by_name_nocase(spark, d):
 WHERE lower(a.alias) IN (SELECT min(lower(alias)) FROM entity_aliases WHERE entity_id = '{HOT}')""")
 def entity_by_alias_nocase(spark, d):
     t = _Tables(spark, d)
-    alias = t.entity_aliases.where(F.col("entity_id") == HOT).agg(F.min(F.lower("alias"))).first()[0] or ""
-    return lookups.by_alias(t.entities, t.entity_aliases, alias).select("entity_id", "alias", "canonical_name")
+    one = t.entity_aliases.where(F.col("entity_id") == HOT).agg(F.min(F.lower("alias")).alias("_alias"))
+    held = t.entity_aliases.join(F.broadcast(one), F.lower("alias") == F.col("_alias"), "left_semi")
+    return held.join(t.entities.select("entity_id", "canonical_name"), "entity_id").select("entity_id", "alias", "canonical_name")
 
 
 @query("SELECT DISTINCT e.canonical_name, e.entity_type FROM entities e JOIN entity_aliases a ON lower(a.alias) = lower(e.canonical_name)")
@@ -121,8 +122,8 @@ def entities_named_like_an_alias(spark, d):
     """Existence by name and type: of all aliases, as they would be imported, the names that are held already."""
     t = _Tables(spark, d)
     wanted = t.entities.select("canonical_name", "entity_type").distinct()
-    held = t.entity_aliases.select(F.col("alias").alias("canonical_name")).join(t.entities.select("entity_type").distinct(), how="cross")
-    return lookups.exists(held, wanted)
+    held = t.entity_aliases.select(F.lower("alias").alias("_name"))
+    return wanted.join(held, F.lower("canonical_name") == F.col("_name"), "left_semi")
 
 
 @query("SELECT DISTINCT substr(alias, 8) AS external_id FROM entity_aliases WHERE lower(alias) LIKE 'ticker:%'")
@@ -202,8 +203,9 @@ _DOC = "(SELECT document_id FROM provenance WHERE document_id IS NOT NULL GROUP
 @query(f"SELECT p.prov_id, p.entity_id, e.canonical_name, p.mention_text FROM provenance p JOIN entities e USING (entity_id) WHERE p.document_id = {_DOC}")
 def mentions_with_entities(spark, d):
     t = _Tables(spark, d)
-    top = t.provenance.where("document_id is not null").groupBy("document_id").count().orderBy(F.desc("count"), "document_id").limit(1).collect()
-    return mentions.with_entities(t.provenance, t.entities, top[0][0] if top else "").select("prov_id", "entity_id", "canonical_name", "mention_text")
+    top = t.provenance.where("document_id is not null").groupBy("document_id").count().orderBy(F.desc("count"), "document_id").limit(1).select("document_id")
+    rows = t.provenance.join(F.broadcast(top), "document_id", "left_semi")
+    return rows.join(t.entities.select("entity_id", "canonical_name"), "entity_id").select("prov_id", "entity_id", "canonical_name", "mention_text")
 
 
 @query("SELECT e.entity_id, count(p.entity_id) AS mentions FROM entities e LEFT JOIN provenance p USING (entity_id) GROUP BY 1")
@@ -306,8 +308,8 @@ _PAIR = "(SELECT min(target_id) FROM relationships WHERE source_id = '" + HOT +
 @query(f"SELECT {_R} FROM relationships WHERE source_id = '{HOT}' AND target_id = {_PAIR}")
 def relationships_between(spark, d):
     r = _Tables(spark, d).relationships
-    target = r.where(F.col("source_id") == HOT).agg(F.min("target_id")).first()[0] or ""
-    return _edge(lookups.relationships_between(r, HOT, target))
+    target = r.where(F.col("source_id") == HOT).agg(F.min("target_id").alias("target_id"))
+    return _edge(r.where(F.col("source_id") == HOT).join(F.broadcast(target), "target_id", "left_semi"))
 
 
 @query(f"SELECT {_R}, qualifier_id FROM relationships WHERE qualifier_id IN (SELECT entity_id FROM entities WHERE entity_type = 'person')")
@@ -421,7 +423,7 @@ def entity_as_of(spark, d):
 WHERE entity_id = '{HOT}' AND history_id = (SELECT min(snapshot_id) FROM entity_snapshots WHERE entity_id = '{HOT}')""")
 def revert_entity(spark, d):
     log = graph.revisions(_Tables(spark, d).entity_snapshots)
-    first = log.where(F.col("entity_id") == HOT).agg(F.min("history_id")).first()[0] or 0
+    first = log.where(F.col("entity_id") == HOT).agg(F.min("history_id").alias("history_id"))
     return graph.revert(log, HOT, first, _now()).select("history_id", "operation", "entity_id", "canonical_name", "status")
 
 
@@ -1045,9 +1047,15 @@ def ingest_mentions(spark, d):
     return pipeline.ingest(docs, t.entities, t.entity_aliases, t.provenance, "run-1", NOW).provenance
 
 
+def _register() -> None:
+    from lorekeel.plans import records  # noqa: F401  (its queries add themselves)
+
+
 def queries() -> dict[str, Query]:
+    _register()
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(_SQL)

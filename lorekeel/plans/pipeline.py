@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lorekeel.functions.columns import hex_id
 from lorekeel.operators import articles as ar
 from lorekeel.operators import budget, detection, graph, mentions, responses, segments
+from lorekeel.session import persist_table
 
 SEGMENTERS: dict[str, Callable[[DataFrame], DataFrame]] = {"news": segments.news, "research": segments.research, "filing": segments.filings, "transcript": segments.transcripts}
 SYSTEM = "Link the marked mentions to the listed candidates, or describe the entity if none fits. Answer with JSON."
@@ -46,17 +47,18 @@ def ingest(documents: DataFrame, entities: DataFrame, aliases: DataFrame, held:
     docs = documents.withColumn("document_id", hex_id(F.col("document_id").cast("string")))
     if not reprocess:
         docs = ar.unprocessed(docs, held)
-    pieces = chunks(docs.select("document_id", "text", "doc_type"))
+    # Cut once: words, texts and snippets all read the pieces.
+    pieces = persist_table(chunks(docs.select("document_id", "text", "doc_type")).select("document_id", "chunk_index", "text"), "pieces")
     key = F.concat_ws("#", "document_id", F.col("chunk_index").cast("string"))
     texts = pieces.where("text != ''").select(key.alias("document_id"), "text")
     known = detection.dictionary(entities.where("status = 'active'"), aliases)
-    found = detection.detect(texts, known)
+    found = persist_table(detection.detect(texts, known), "occurrences")
     sure = detection.with_snippets(detection.resolved(found, known), texts)
     doc = F.substring_index("document_id", "#", 1)
     source = docs.select(F.col("document_id").alias("_d"), "source")
     rows = sure.select("entity_id", doc.alias("document_id"), F.col("alias").alias("mention_text"), "context_snippet")
     rows = rows.join(source, F.col("document_id") == F.col("_d")).drop("_d").withColumn("detected_at", F.lit(detected_at).cast("timestamp")).withColumn("run_id", F.lit(run_id))
-    new = mentions.save(rows, held)
+    new = persist_table(mentions.save(rows, held), "new-mentions")
     open_ = detection.unresolved(found, known).select(doc.alias("document_id"), "alias", "span_start", "candidate_ids")
     seen = docs.agg(F.count(F.lit(1)).alias("documents")).crossJoin(new.agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("entity_id").alias("entities")))
     return Result(new, open_, seen.withColumn("run_id", F.lit(run_id)))

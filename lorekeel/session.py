@@ -28,13 +28,15 @@ def local_session(cpus: int | str = "*", app: str = "lorekeel", memory: str = "8
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of this machine is made
-    and kept for the life of the session.
+    Only where that setting is absent and the master is local (tests, a laptop) a temporary folder of this machine is made
+    and kept for the life of the session; on a cluster its executors would not share it, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark, "_lorekeel_scratch", None)
         if root is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="lorekeel-")
             spark._lorekeel_scratch = root
     return root.rstrip("/")

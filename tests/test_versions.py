@@ -35,11 +35,19 @@ def brute(data):
     return sorted(out)
 
 
-def test_joints_settle_like_a_plain_scan():
-    for n in range(0, 40):
-        equal = np.random.default_rng(n).random(n) < 0.5
-        got = versions.joints_left(equal)
-        assert all(got[i] == (not equal[i]) for i in range(1, n))
+def test_runs_merge_like_a_plain_scan():
+    for n in range(0, 70):
+        r = np.random.default_rng(n)
+        entity, payload = np.sort(r.integers(0, 4, n)), r.integers(0, 2, n)
+        plain = [i == 0 or entity[i] != entity[i - 1] or payload[i] != payload[i - 1] for i in range(n)]
+        assert versions.merged_runs(entity, payload).tolist() == plain
+
+
+def test_versions_come_through_merged_runs(spark, monkeypatch):
+    df = spark.createDataFrame([row(i, "e", "A", T0 + timedelta(hours=i)) for i in range(9)], SCHEMA)
+    assert len(rows(versions.version_history(df))) == 1
+    monkeypatch.setattr(versions, "merged_runs", lambda entity, payload: np.ones(len(entity), bool))
+    assert len(rows(versions.version_history(df))) > 1
 
 
 def test_versions_against_brute_force_with_a_hot_entity(spark):
