@@ -134,7 +134,7 @@ def quality_profile(entities: DataFrame, relationships_: DataFrame, provenance:
     n = lambda df, key: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit("total").alias("section"), F.lit(key).alias("key"), F.lit("").alias("detail"), "value")
     kinds = entities.groupBy("entity_type").agg(F.count(F.lit(1)).alias("value")).select(F.lit("type"), F.col("entity_type"), F.lit(""), "value")
     subs = entities.groupBy("entity_type", F.coalesce("subtype", F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("value")).select(F.lit("subtype"), F.col("entity_type"), F.col("s"), "value")
-    one = collided.join(entities.select("entity_id", "entity_type"), "entity_id").groupBy("alias").agg(F.countDistinct("entity_id").alias("value"), F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("t"))
+    one = collided.select("alias", "entity_id").join(entities.select("entity_id", "entity_type"), "entity_id").groupBy("alias").agg(F.countDistinct("entity_id").alias("value"), F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("t"))
     worst = one.orderBy(F.desc("value"), "alias").limit(top).select(F.lit("collision"), F.col("alias"), F.col("t"), "value")
     totals = n(entities, "entities").unionAll(n(relationships_, "relationships")).unionAll(n(provenance, "mentions")).unionAll(n(one, "alias_collisions"))
     return totals.unionAll(kinds).unionAll(subs).unionAll(worst)
