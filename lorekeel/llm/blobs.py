@@ -1,7 +1,7 @@
 """Packed rows: many small records of one destination travel as arrays in one row.
 
 A shuffle of packed rows costs the bytes of the arrays, not an object per record, and numpy works on
-them as they arrive. Buckets are chosen by hash, four for each shuffle partition.
+them as they arrive. Buckets are chosen by hash, so many that each has a bounded number of records on average.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeel.llm import bytescan as bs
-from lorekeel.session import task_count
 
 
-def bucket_count(df: DataFrame) -> int:
-    return 4 * task_count(df, 3)
+RECORDS = 4000  # records of a bucket
+
+
+def bucket_count(records: int) -> int:
+    return max(24, -(-records // RECORDS))
 
 
 def flat(column: pa.Array | pa.ChunkedArray, dtype: type) -> np.ndarray:

@@ -35,7 +35,7 @@ PASSAGE = 32  # words of a passage
 RUN = 13
 WIDE, STEP = 24, 12
 COSINE = 0.8
-BANDS, SIGNS = 80, 12  # of the fuzzy search: so many sets of so many signs
+BANDS, SIGNS = 64, 10  # of the fuzzy search: so many sets of so many signs
 EXACT_BANDS, EXACT_SIGNS, EXACT_COSINE = 2, 24, 0.95  # of the search for equal words, whose vectors are equal
 PAIRS = 200_000  # pairs of windows compared in one go
 COMMON = 0.6

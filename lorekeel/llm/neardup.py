@@ -84,8 +84,9 @@ def similar_classes(table: DataFrame, least: float = stories.SIMILARITY, n: int
     No pair is lost: with the lists of a record ordered by (length class, hash), two records that share T
     shingles share ``hits`` of the first |x| - T + hits of each, for hits <= T.
     """
-    buckets = blobs.bucket_count(table)
-    hot = hot_shingles(table, n, table.count())
+    records = table.count()
+    buckets = blobs.bucket_count(records)
+    hot = hot_shingles(table, n, records)
     overlap = least / (1 + least)
     bin_, i32 = pa.binary(), pa.int32()
     place_type = np.uint16 if buckets < 1 << 16 else np.int32
@@ -127,7 +128,8 @@ def similar_classes(table: DataFrame, least: float = stories.SIMILARITY, n: int
         home = np.concatenate([np.frombuffer(x, place_type).astype(np.int32) if k < 0 else np.full(m, k, np.int32) for k, x, m in zip(t["home"].to_pylist(), t["homes"].to_pylist(), per_row.tolist(), strict=True)])
         rid, doc = np.unique(np.repeat(ids, cnt), return_inverse=True)
         size = np.bincount(doc)
-        order = np.lexsort((low, home, cls, doc))
+        order = np.argsort((cls.astype(np.uint64) << bs.U64(56)) | (home.astype(np.uint64) << bs.U64(32)) | low, kind="stable")
+        order = order[np.argsort(doc[order], kind="stable")]
         doc, low, cls, home = doc[order], low[order], cls[order], home[order]
         rank = bs.segment_ranges(size)
         # As the smaller record of a pair: T >= 2 t / (1 + t) |x|; as the larger one: T >= t |x|.
@@ -164,7 +166,7 @@ def similar_classes(table: DataFrame, least: float = stories.SIMILARITY, n: int
         place[order] = np.arange(len(order))
         ids, size = ids[order], size[order]
         doc = place[np.repeat(np.arange(len(cnt)), cnt)]
-        o = np.lexsort((doc, low))
+        o = np.argsort((low.astype(np.uint64) << bs.U64(32)) | doc.astype(np.uint64), kind="stable")
         doc, low, short = doc[o], low[o], short[o]
         cut = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, np.int64)
         length = np.diff(np.concatenate((cut, [len(low)])))

@@ -118,7 +118,7 @@ def frequent_chunks(articles: DataFrame) -> DataFrame:
     The counts are made per batch before anything is sent. A source has at most 20 times as many such
     chunks as its articles have chunks on average.
     """
-    buckets = blobs.bucket_count(articles)
+    buckets = blobs.bucket_count(articles.count())
 
     def scatter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -70,12 +70,42 @@ def shingles(words: np.ndarray, size: np.ndarray, n: int = SHINGLE) -> tuple[np.
     d = doc[: len(h)]
     inside = d == doc[n - 1 :]
     d, h = d[inside], h[inside]
-    order = np.lexsort((h, d))
+    order = _by_both(d, h)
     d, h = d[order], h[order]
     new = np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]))) if len(d) else np.zeros(0, bool)
     return d[new], h[new]
 
 
+def _by_both(d: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by d, then by h: one sort of both in one number, done again in full where the cut of h is not enough."""
+    bits = max(1, int(d[-1]).bit_length()) if len(d) else 1  # d is in order
+    order = np.argsort((d.astype(np.uint64) << bs.U64(64 - bits)) | (h >> bs.U64(bits)), kind="stable")
+    x, y = d[order], h[order]
+    return order if ((x[1:] != x[:-1]) | (y[1:] >= y[:-1])).all() else np.lexsort((h, d))
+
+
+def probed(da: np.ndarray, ha: np.ndarray, db: np.ndarray, hb: np.ndarray, pairs: int) -> np.ndarray:
+    """For each pair the number of shingles of a that are in the set of b, by binary search.
+
+    Whether b is in the list of a shingle is whether the shingle is in the ordered set of b, so a list of any length is probed in
+    the time its record takes, and is never read.
+    """
+    bits = bs.U64(max(1, int(max(pairs - 1, 1)).bit_length()))
+    key = lambda d, h: (d.astype(np.uint64) << (bs.U64(64) - bits)) | (h >> bits)
+    kb = key(db, hb)
+    at = np.searchsorted(kb, key(da, ha))
+    # The cut of a hash may be that of several: step on while the hash itself is another.
+    hit = np.zeros(len(da), bool)
+    live = np.flatnonzero(at < len(kb))
+    at = at[live]
+    while len(live):
+        same = (db[at] == da[live]) & (hb[at] == ha[live])
+        hit[live[same]] = True
+        on = ~same & (kb[at] == key(da[live], ha[live])) & (at + 1 < len(kb))
+        live, at = live[on], at[on] + 1
+    return np.bincount(da[hit], minlength=pairs)
+
+
 def verified(pairs: DataFrame, table: DataFrame, least: float = SIMILARITY, n: int = SHINGLE) -> DataFrame:
     """(a, b, similarity) of the pairs of ids whose stories reach the Jaccard similarity, exactly.
 
@@ -94,11 +124,7 @@ def verified(pairs: DataFrame, table: DataFrame, least: float = SIMILARITY, n: i
                 d, h = shingles(blobs.flat(batch.column(c), WORD), blobs.lengths(batch.column(c), WORD), n)
                 sets.append((d, h, np.bincount(d, minlength=batch.num_rows)))
             (da, ha, na), (db, hb, nb) = sets
-            d, h = np.concatenate((da, db)), np.concatenate((ha, hb))
-            order = np.lexsort((h, d))
-            d, h = d[order], h[order]
-            same = (d[1:] == d[:-1]) & (h[1:] == h[:-1]) if len(d) else np.zeros(0, bool)
-            both = np.bincount(d[1:][same], minlength=batch.num_rows) if len(d) else na
+            both = probed(da, ha, db, hb, batch.num_rows)
             sim = both / np.maximum(na + nb - both, 1)
             ok = sim >= least
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(sim[ok])], ["a", "b", "similarity"])
