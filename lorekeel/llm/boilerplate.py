@@ -2,8 +2,8 @@
 
 A page is a tree: page, blocks (runs of lines between blank lines), lines. Every line is described by
 features of itself, of its siblings and of its ancestors; gradient-boosted trees give each line a
-probability of being story, and a decoder picks for every block one of "all story", "no story" or
-"mixed", so that a line can differ from its block only where the block itself is mixed.
+probability of being story, and a decoder picks for every page and then for every block one of "all story", "no story" or
+"mixed", so that a line can differ from its block, and a block from its page, only where those are mixed.
 
 The trees are trained in place on a bounded sample of pages (``sample_pages``) whose lines get labels
 from the rules in :func:`weak_label`, which are general patterns of web furniture in four languages.
@@ -311,11 +311,15 @@ def sample_model(articles: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model
 
 
 # ---------------------------------------------------------------- decoding
-MIXED = 0.7  # what a block pays, in log-likelihood, for lines that differ from each other
+MIXED = 0.7  # what a block pays, in log-likelihood, for lines that differ from each other; a page, for blocks that do
 
 
-def decode(margin: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Story or not, line by line: per block the cheapest of all, none and mixed."""
+def decode(margin: np.ndarray, block: np.ndarray, page: np.ndarray | None = None) -> np.ndarray:
+    """Story or not, line by line, decided from the top: a page is all story, none or mixed, whichever costs least; in a mixed one
+    each block is, and only in a mixed block may lines differ. So no line contradicts its block, and no block its page.
+
+    ``block`` and ``page`` count from 0 in the order of the lines; without ``page`` each block is decided by itself.
+    """
     if not len(margin):
         return np.zeros(0, bool)
     cost_story = np.logaddexp(0, -margin)
@@ -323,12 +327,19 @@ def decode(margin: np.ndarray, block: np.ndarray) -> np.ndarray:
     k = int(block[-1]) + 1
     story, other = np.bincount(block, cost_story, k), np.bincount(block, cost_other, k)
     mixed = np.bincount(block, np.minimum(cost_story, cost_other), k) + MIXED
-    best = np.argmin(np.stack([story, other, mixed]), 0)
+    kinds = np.stack([story, other, mixed])
+    best = np.argmin(kinds, 0)
+    if page is not None:
+        of_page = np.zeros(k, np.int64)
+        of_page[block] = page
+        total = lambda cost: np.bincount(of_page, cost, int(page[-1]) + 1)
+        whole = np.argmin(np.stack([total(story), total(other), total(kinds.min(0)) + MIXED]), 0)[of_page]
+        best = np.where(whole == 2, best, whole)
     return np.where(best[block] == 2, margin > 0, best[block] == 0)
 
 
 def story_mask(x: Lines, m: Model) -> np.ndarray:
-    return decode(m.forest.margin(features(x, m)), x.block) if len(x.doc) else np.zeros(0, bool)
+    return decode(m.forest.margin(features(x, m)), x.block, x.doc) if len(x.doc) else np.zeros(0, bool)
 
 
 def scan_pages(batch: pa.RecordBatch, m: Model) -> Iterator[tuple[int, int, Lines, np.ndarray]]:
