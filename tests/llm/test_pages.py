@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lorekeel.llm import batchdedup, boilerplate, neardup, repeated, stories, trees
@@ -133,11 +134,12 @@ def test_segments_search_and_merge():
     g = np.random.default_rng(4)
     seg, seen = batchdedup.Segments(), {}
     for batch in range(60):
-        key = np.sort(g.integers(0, 50, 9))
-        first, last = seg.search(key, 10**6)
+        key = np.sort(g.integers(0, 50, 9)).astype(np.uint64) << np.uint64(32)
+        first, last, depth = seg.search(key, 10**6)
+        assert ((depth < 3) == [k in seen for k in key.tolist()]).all()
         for k, f, x in zip(key.tolist(), first.tolist(), last.tolist(), strict=True):
             assert (f, x) == ((seen[k][0], seen[k][-1]) if k in seen else (10**6, -1))
-        seg.add(key, np.full(9, batch))
+        seg.add(batchdedup.SuffixArray.of(key, np.full(9, batch)))
         for k in key.tolist():
             seen.setdefault(k, []).append(batch)
     assert len(seg.held) <= 8
@@ -185,4 +187,34 @@ def test_index_gives_batch_by_batch_what_the_whole_gives(spark, tmp_path, monkey
     for lo in range(0, 40, 10):
         part = a.where((F.substring("document_id", 2, 9).cast("int") >= lo) & (F.substring("document_id", 2, 9).cast("int") < lo + 10))
         got |= dict(rows(index.add(part)))
-    assert got == whole and len(index._list("segments")) == 1
+    assert got == whole and len(index._manifest()["segments"]) == 1
+
+
+def test_longest_match_goes_first():
+    old = batchdedup.SuffixArray.of(np.array([0x500010001, 0x500010002, 0x500020001, 0x600010001], np.uint64), np.array([3, 1, 0, 2]))
+    seg = batchdedup.Segments()
+    seg.add(old)
+    first, last, depth = seg.search(np.array([0x500010001, 0x500010009, 0x500090009, 0x700000000], np.uint64), 9)
+    assert first.tolist() == [3, 1, 0, 9] and last.tolist() == [3, 3, 3, -1] and depth.tolist() == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("every", [9, 10])
+def test_batches_find_scattered_edits(spark, every):
+    """Pairs that differ in every ninth or tenth word, similarity about one half, among other texts."""
+    r = random.Random(every)
+    word = lambda: f"w{r.randrange(30_000)}"
+    size = lambda: r.choice([12, 30, 70, 200])
+    made = []
+    for k in range(200):
+        one = [word() for _ in range(size())]
+        shift = r.randrange(every)
+        made.append((2 * k, one))
+        made.append((2 * k + 1, [word() if i % every == shift else x for i, x in enumerate(one)]))
+    hashes = {}
+    packed = lambda t: np.array([hashes.setdefault(x, r.randrange(1 << 32)) for x in t], np.uint32).tobytes()
+    table = spark.createDataFrame([(i, i, f"{i:09d}", packed(t)) for i, t in made], "rid long, at long, document_id string, words binary")
+    found = {(min(x), max(x)) for x in rows(batchdedup.covered_pairs(table))}
+    grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    near = {(2 * k, 2 * k + 1) for k in range(200) for a, b in ((grams(made[2 * k][1]), grams(made[2 * k + 1][1])),) if len(a & b) >= 0.5 * len(a | b)}
+    assert near <= found and len(near) > 60
+    assert len(found - {(2 * k, 2 * k + 1) for k in range(200)}) < 10
