@@ -23,7 +23,6 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BITS = 9  # buckets of one level
 LEVELS = 7  # levels of a 63-bit hash
-LONGEST_RUN = 4_000
 
 # The pattern that cuts text before byte pairs are merged, of the public byte-level vocabulary.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -38,33 +37,18 @@ def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("corpus", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _pieces(text: str) -> list[str]:
-    """A very long text in parts of whole words, and runs without a blank in parts of LONGEST_RUN: merging a run
-    takes time that grows as its square."""
-    if len(text) <= LONGEST_RUN:
-        return [text]
-    out, at = [], 0
-    while at < len(text):
-        end = at + LONGEST_RUN
-        cut = text.rfind(" ", at + 1, end) if end < len(text) else len(text)
-        cut = end if cut <= at else cut
-        out.append(text[at:cut])
-        at = cut
-    return out
-
-
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, seed: int = 0) -> DataFrame:
     """(doc_id, source, tokens, h): tokens of the whole text, and a 63-bit hash of the id.
 
-    A NULL text has no tokens and is left out; a NULL source is kept. Texts of more than LONGEST_RUN
-    characters are cut before blanks, which changes no token of this vocabulary but in runs without a blank.
+    A NULL text has no tokens and is left out; a NULL source is kept. Texts are encoded whole, however long; the encoder's time
+    grows in proportion to a text, runs without a blank included.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder)
         for batch in it:
             texts = batch.column("text").to_pylist()
-            n = [sum(len(enc.encode_ordinary(p)) for p in _pieces(t)) for t in texts]
+            n = [len(enc.encode_ordinary(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64()), batch.column("h")], ["doc_id", "source", "tokens", "h"])
 
     src = documents.where("text is not null").select("doc_id", "source", "text", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1).alias("h"))

@@ -8,7 +8,6 @@ articles that have the whole line are then counted exactly.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ WINDOW = 16
 MASK = 31  # a chunk ends where the rolling hash has these bits clear: 32 bytes more on average
 LEAST_ARTICLES = 5
 LEAST_SHARE_INVERSE = 20  # 1 / 5 %
-KEYS_AT_ONCE = 1_000_000
+TOGETHER = 1000  # articles of a source that are read together
 
 _SPACES = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _DIGIT = re.compile(r"(?![0-9])\d")
@@ -91,14 +90,6 @@ class LineChunks:
         self.chunk, self.chunk_line = bs.spans(sums, begin, stop), line
 
 
-def _key(source: str | None) -> np.uint64:
-    return bs.mix(np.frombuffer(hash_bytes(source), np.uint64))[0]
-
-
-def hash_bytes(text: str | None) -> bytes:
-    return hashlib.blake2b((text or "").encode(), digest_size=8, key=b"" if text is not None else b"null").digest()
-
-
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, int, LineChunks]]:
     bodies = batch.column("body").to_pylist()
     for a, b in bs.chunks(len(x or "") + 1 for x in bodies):
@@ -162,57 +153,48 @@ def repeated_lines(articles: DataFrame) -> DataFrame:
     an article. A line that stands twice in one article counts once and is reported twice.
     """
     found = persist_table(frequent_chunks(articles), "frequent-chunks")
-    sizes = found.groupBy("source").agg(F.sum(F.length("keys") / 8).cast("long").alias("n")).collect()
-    # Sources are taken together as long as their keys fit; there is one pass in all but extreme cases.
-    groups: list[list[str | None]] = [[]]
-    held = 0
-    for r in sorted(sizes, key=lambda r: (r["source"] is not None, r["source"] or "")):
-        if groups[-1] and held + r["n"] > KEYS_AT_ONCE:
-            groups.append([])
-            held = 0
-        groups[-1].append(r["source"])
-        held += r["n"]
-    parts = [_candidates(articles, found, g) for g in groups]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    rows = persist_table(out, "line-candidates")
-    per_source = articles.groupBy("source").agg(F.count(F.lit(1)).alias("articles")).withColumnRenamed("source", "s")
-    counted = rows.groupBy("source", "line").agg(F.sum("first").alias("n")).join(per_source, F.col("source").eqNullSafe(F.col("s")))
+    per_source = persist_table(articles.groupBy("source").agg(F.count(F.lit(1)).alias("articles")), "articles-of-sources")
+    rows = persist_table(_candidates(articles, found, per_source), "line-candidates")
+    sizes = per_source.withColumnRenamed("source", "s")
+    counted = rows.groupBy("source", "line").agg(F.sum("first").alias("n")).join(sizes, F.col("source").eqNullSafe(F.col("s")))
     often = counted.where((F.col("n") >= LEAST_ARTICLES) & (F.col("n") * LEAST_SHARE_INVERSE >= F.col("articles"))).select(F.col("source").alias("src"), F.col("line").alias("ln"))
     return rows.join(often, (F.col("line") == F.col("ln")) & F.col("source").eqNullSafe(F.col("src")), "left_semi").select("document_id", "line_no")
 
 
-def _candidates(articles: DataFrame, found: DataFrame, sources: list[str | None]) -> DataFrame:
-    names = [s for s in sources if s is not None]
-    cond = F.col("source").isin(names) if names else F.lit(False)
-    if None in sources:
-        cond = cond | F.col("source").isNull()
-    if not sources:
-        cond = F.lit(False)
-    keys = [bs.mix(np.frombuffer(r["keys"], np.uint64) ^ _key(r["source"])) for r in found.where(cond).collect()]
-    known = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+def _candidates(articles: DataFrame, found: DataFrame, per_source: DataFrame) -> DataFrame:
+    """(document_id, source, line_no, line, first): the lines all of whose chunks are frequent in their source.
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str | None, np.uint64] = {}
-        for batch in it:
-            names_ = batch.column("source").to_pylist()
-            for a, b, x in _read(batch):
-                tag = np.array([cache.get(s) or cache.setdefault(s, _key(s)) for s in names_[a:b]], np.uint64)
-                h = bs.mix(x.chunk ^ tag[x.doc[x.chunk_line]])
-                k = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                rare = known[k] != h if len(known) else np.ones(len(h), bool)
-                line = np.flatnonzero(np.bincount(x.chunk_line[rare], minlength=len(x.line)) == 0)
+    The articles of a source meet its frequent chunks in groups of ``TOGETHER`` articles, so a source with a third of all rows
+    is as many groups as it needs, and nothing goes through the driver.
+    """
+    parts = per_source.where(F.col("articles") >= LEAST_ARTICLES).select(F.col("source").alias("s"), F.ceil(F.col("articles") / TOGETHER).cast("long").alias("parts"))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))  # no source is a name of its own
+    part = F.pmod(F.xxhash64("document_id", F.monotonically_increasing_id()), F.col("parts"))
+    left = articles.select("document_id", "source", "body").where("body is not null").join(parts, same).select("document_id", "source", "body", name.alias("name"), part.alias("part"))
+    right = found.join(parts, same).select(name.alias("name"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "keys")
+
+    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        known = np.sort(blobs.flat(b["keys"], np.uint64))
+        held = [_out(a.slice(0, 0), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if len(known):
+            for lo, hi, x in _read(a):
+                k = np.minimum(np.searchsorted(known, x.chunk), len(known) - 1)
+                line = np.flatnonzero(np.bincount(x.chunk_line[known[k] != x.chunk], minlength=len(x.line)) == 0)
                 d, hash_ = x.doc[line], x.line[line]
                 o = np.lexsort((line, hash_, d))
                 new = np.concatenate(([True], (d[o][1:] != d[o][:-1]) | (hash_[o][1:] != hash_[o][:-1]))) if len(o) else np.zeros(0, bool)
                 first = np.zeros(len(line), np.int64)
                 first[o[new]] = 1
-                at = pa.array(d + a)
-                yield pa.RecordBatch.from_arrays([batch.column("document_id").take(at), batch.column("source").take(at), pa.array(x.no[line].astype(np.int32)), pa.array(hash_.view(np.int64)), pa.array(first)], ["document_id", "source", "line_no", "line", "first"])
+                held.append(_out(a.slice(lo, hi - lo), d, x.no[line].astype(np.int32), hash_.view(np.int64), first))
+        return pa.concat_tables(held)
+
+    return left.groupBy("name", "part").cogroup(right.groupBy("name", "part")).applyInArrow(meet, "document_id string, source string, line_no int, line long, first long")
+
 
-    src = articles.select("document_id", "source", "body")
-    return src.where(cond).mapInArrow(run, "document_id string, source string, line_no int, line long, first long")
+def _out(t: pa.Table, doc: np.ndarray, no: np.ndarray, line: np.ndarray, first: np.ndarray) -> pa.Table:
+    at = pa.array(doc.astype(np.int64))
+    return pa.table({"document_id": t["document_id"].take(at), "source": t["source"].take(at), "line_no": pa.array(no), "line": pa.array(line), "first": pa.array(first)})
 
 
 def without_lines(articles: DataFrame, lines: DataFrame) -> DataFrame:
