@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeel.functions.columns import budget_tokens, overlapping_count
+from lorekeel.operators import detection
 
 HEADROOM = 800
 HEADER = "CANDIDATE ENTITIES:\n"
@@ -16,11 +20,43 @@ def flexible(window: int, system_tokens: int, headroom: int = HEADROOM) -> int:
     return max(0, window - system_tokens - headroom)
 
 
-def alias_matches(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+def alias_matches(chunks: DataFrame, entities: DataFrame, most: int = detection.AUTOMATON_ALIASES) -> DataFrame:
     """(chunk_id, entity_id, matches): how often name and aliases occur in the text, without case, overlaps included.
 
-    ``chunks`` (chunk_id, text, candidate_ids) name their candidates; ``entities`` have aliases. Each distinct form counts.
+    ``chunks`` (chunk_id, text, candidate_ids) name their candidates; ``entities`` have aliases. Each distinct form counts. Up to
+    ``most`` forms go to the tasks as an automaton that reads each text once; more are joined to the texts.
     """
+    form = F.array_distinct(F.transform(F.concat(F.array("canonical_name"), "aliases"), lambda x: F.lower(x)))
+    held = entities.select("entity_id", F.explode(form).alias("form")).where("form is not null and form != ''").distinct()
+    rows = held.limit(most + 1).collect()
+    return _counted(chunks, entities, [(r[0], r[1]) for r in rows]) if len(rows) <= most else alias_matches_by_join(chunks, entities)
+
+
+def _counted(chunks: DataFrame, entities: DataFrame, held: list[tuple[str, str]]) -> DataFrame:
+    source = chunks.select("chunk_id", F.lower("text").alias("low"), "candidate_ids")
+    known = {k for k, _ in held}
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = detection.Automaton([f for _, f in held])
+        forms: dict[str, list[str]] = {}
+        for k, f in held:
+            forms.setdefault(k, []).append(f)
+        for batch in it:
+            at, ids, n = [], [], []
+            for i, (low, candidates) in enumerate(zip(batch.column("low").to_pylist(), batch.column("candidate_ids").to_pylist(), strict=True)):
+                seen = machine.counts(low or "")
+                for k in candidates or ():
+                    if k in known:
+                        at.append(i)
+                        ids.append(k)
+                        n.append(sum(seen.get(f, 0) for f in forms[k]))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(at, pa.int64())), pa.array(ids, pa.string()), pa.array(n, pa.int64())], ["chunk_id", "entity_id", "matches"])
+
+    return source.mapInArrow(run, f"chunk_id {source.schema['chunk_id'].dataType.simpleString()}, entity_id string, matches long")
+
+
+def alias_matches_by_join(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """The same counts by joins, for any number of forms."""
     pair = chunks.select("chunk_id", F.lower("text").alias("_low"), F.explode("candidate_ids").alias("entity_id")).join(entities.select("entity_id", "canonical_name", "aliases"), "entity_id")
     forms = F.array_distinct(F.transform(F.concat(F.array("canonical_name"), "aliases"), F.lower))
     one = pair.select("chunk_id", "entity_id", "_low", F.explode(forms).alias("_form"))

@@ -8,6 +8,7 @@ shuffled once however many aliases it meets; it never leaves the JVM and has no
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,6 +88,10 @@ class Automaton:
             self.machine.make_automaton()
         self.empty = not aliases
 
+    def counts(self, low: str) -> dict[str, int]:
+        """How often each alias stands in a lower-cased text, overlaps included, whatever touches it."""
+        return {} if self.empty else Counter(a for _, a in self.machine.iter(low))
+
     def spans(self, text: str) -> Iterator[tuple[str, int, int]]:
         """Occurrences that no letter or digit touches: a place is a boundary unless both sides are letters or digits."""
         if self.empty:

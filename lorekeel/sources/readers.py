@@ -27,9 +27,9 @@ LABELLED_SCHEMA = "articles array<struct<document_id: string, body: string, titl
 _ATOM = "{http://www.w3.org/2005/Atom}"
 
 
-def feed_items(feeds: DataFrame) -> DataFrame:
+def feed_items(feeds: DataFrame, linked_only: bool = True) -> DataFrame:
     """Entries of feeds (source, feed_order, xml) in their order, RSS or Atom; a feed that is no XML has none. An entry without link
-    has '' as its url."""
+    is dropped or, on demand, kept with '' as its url."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -47,7 +47,8 @@ def feed_items(feeds: DataFrame) -> DataFrame:
             types = [pa.string()] * 5 + [pa.int32()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["source", "url", "title", "body", "published_text", "feed_order", "entry_order"])
 
-    return feeds.select("source", "feed_order", "xml").mapInArrow(run, ITEM_SCHEMA)
+    items = feeds.select("source", "feed_order", "xml").mapInArrow(run, ITEM_SCHEMA)
+    return items.where("url != ''") if linked_only else items
 
 
 def feed_date(text: Column) -> Column:

@@ -185,7 +185,8 @@ def test_feeds_of_both_kinds(spark):
     rss = "<rss><channel><item><title>T</title><link>http://a</link><pubDate>Tue, 05 Mar 2024 10:00:00 GMT</pubDate></item><item><title>no link</title></item></channel></rss>"
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A</title><link rel="self" href="http://self"/><link href="http://b"/><summary>s</summary><updated>2024-03-05T11:00:00Z</updated></entry></feed>'
     f = spark.createDataFrame([("x", 0, rss), ("y", 1, atom), ("z", 2, "<broken"), ("n", 3, None)], "source string, feed_order int, xml string")
-    items = readers.feed_items(f)
+    items = readers.feed_items(f, linked_only=False)
+    assert readers.feed_items(f).count() == 2
     assert rows(items.select("source", "url", "title", "body")) == [("x", "", "no link", ""), ("x", "http://a", "T", ""), ("y", "http://b", "A", "s")]
     dates = items.select("url", F.unix_timestamp(readers.feed_date(F.col("published_text"))).alias("t")).where("url != ''").orderBy("url").collect()
     assert dates[1]["t"] - dates[0]["t"] == 3600
