@@ -125,7 +125,7 @@ def test_feeds(spark):
 def test_bindings(spark):
     b = spark.createDataFrame([("http://x/Q1", "Acme", "a firm", "Oz", None, None, "ACM", None), ("http://x/Q2", "Q2", None, None, None, None, None, None)], "item string, itemLabel string, description string, countryLabel string, industryLabel string, exchangeLabel string, ticker string, isin string")
     r = readers.bindings_to_entities(b, "company").collect()
-    assert [(x["external_id"], x["description"], x["aliases"]) for x in r] == [("Q1", "a firm; Based in Oz", ["wikidata:Q1", "ticker:ACM"])]
+    assert [(x["external_id"], x["description"], x["aliases"]) for x in r] == [("Q1", "Acme is a publicly listed company, headquartered in Oz, trading under ticker ACM. a firm", ["wikidata:Q1", "ticker:ACM"])]
 
 
 def test_candidates_that_fit(spark):
