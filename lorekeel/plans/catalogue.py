@@ -809,9 +809,18 @@ def detect_mentions(spark, d):
     return detection.detect(_docs(t), _dictionary(t)).select("document_id", "alias").distinct()
 
 
-@query()
+_SPANS = rf"""(WITH a AS MATERIALIZED (SELECT DISTINCT alias, regexp_extract(alias, '[\p{{L}}\p{{N}}]+') AS word FROM {_DICT}),
+w AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS word FROM documents),
+m AS MATERIALIZED (SELECT d.doc_id, d.text, lower(d.text) AS low, a.alias FROM w JOIN a USING (word) JOIN documents d USING (doc_id) WHERE a.word <> '' AND contains(lower(d.text), a.alias)),
+o AS (SELECT *, unnest(list_filter(range(1, length(low) - length(alias) + 2), lambda i: substr(low, i, length(alias)) = alias)) AS i FROM m)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, alias, text, CAST(i - 1 AS INTEGER) AS span_start, CAST(i - 1 + length(alias) AS INTEGER) AS span_end FROM o
+WHERE (i = 1 OR NOT regexp_matches(substr(low, i - 1, 1), '[\p{{L}}\p{{N}}]') OR NOT regexp_matches(alias, '^[\p{{L}}\p{{N}}]'))
+AND (i + length(alias) > length(low) OR NOT regexp_matches(substr(low, i + length(alias), 1), '[\p{{L}}\p{{N}}]') OR NOT regexp_matches(alias, '[\p{{L}}\p{{N}}]$')))"""
+
+
+@query(f"SELECT document_id, alias, span_start, span_end FROM {_SPANS}")
 def detect_mention_spans(spark, d):
-    """Every occurrence with its place; regular expressions of the checking engine give no places, so tests cover them."""
+    """Every occurrence with its place."""
     t = _Tables(spark, d)
     return detection.detect(_docs(t), _dictionary(t))
 
@@ -834,7 +843,11 @@ def document_prescan(spark, d):
     return detection.prescan(detection.detect(_docs(t), _dictionary(t)), _dictionary(t))
 
 
-@query()
+@query(f"""WITH f AS (SELECT s.*, m.entity_id FROM {_SPANS} s JOIN {_MEANT} m USING (alias) WHERE m.n = 1),
+b AS (SELECT *, span_start AS s, span_end AS e, greatest(0, span_start - 100) AS a0, least(length(text), span_end + 100) AS b0 FROM f),
+l AS (SELECT *, strpos(substr(text, a0 + 1), ' ') + a0 - 1 AS sp, strpos(reverse(substr(text, e + 1, b0 - e)), ' ') AS back FROM b),
+k AS (SELECT *, CASE WHEN a0 > 0 AND sp >= a0 AND sp < s THEN sp + 1 ELSE a0 END AS a1, CASE WHEN b0 < length(text) AND back > 0 THEN b0 - back ELSE b0 END AS b1 FROM l)
+SELECT document_id, alias, span_start, span_end, entity_id, (CASE WHEN a1 > 0 THEN '...' ELSE '' END) || substr(text, a1 + 1, b1 - a1) || (CASE WHEN b1 < length(text) THEN '...' ELSE '' END) AS context_snippet FROM k""")
 def mention_snippets(spark, d):
     """Resolved occurrences with the text around them."""
     t = _Tables(spark, d)

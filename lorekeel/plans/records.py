@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeel.functions import columns as c
-from lorekeel.operators import budget, extraction, graph, ledger, mentions, merging, reports
+from lorekeel.operators import articles, budget, extraction, graph, ledger, mentions, merging, reports
 from lorekeel.plans.catalogue import _COLLIDED, _LOG, _PROPOSED, _TS, _WALK, HOT, RUN_A, RUN_B, _now, _proposed, _Tables, query
 from lorekeel.sources import readers
 
@@ -289,3 +289,31 @@ def company_import(spark, d):
     row = F.struct(text(F.concat(F.lit("http://example.org/entity/Q"), "entity_id")).alias("item"), text(F.col("canonical_name")).alias("itemLabel"), text(F.col("description")).alias("description"), text(F.col("subtype")).alias("exchangeLabel"), some(n % 2 == 0, F.upper(F.substring("entity_id", 1, 4))).alias("ticker"), some(n % 3 == 0, F.col("status")).alias("countryLabel"))
     landed = e.select(F.to_json(F.struct(F.struct(F.array(row).alias("bindings")).alias("results"))).alias("body"))
     return readers.imported(landed, "company").select("external_id", "canonical_name", "description", F.array_join("aliases", "|").alias("aliases"))
+
+
+# ---------------------------------------------------------------- whole tables where the catalogue shows a part
+@query("SELECT document_id FROM articles WHERE replace(document_id, '-', '') NOT IN (SELECT replace(document_id, '-', '') FROM provenance WHERE document_id IS NOT NULL)")
+def unprocessed_documents_all(spark, d):
+    """Articles that no mention comes from."""
+    t = _Tables(spark, d)
+    return articles.unprocessed(t.articles, t.provenance).select("document_id")
+
+
+@query(f"""SELECT DISTINCT entity_id, document_id, mention_text FROM provenance p WHERE entity_id IS NOT NULL AND (run_id <> '{RUN_A}' OR run_id IS NULL)
+AND NOT EXISTS (SELECT 1 FROM provenance q WHERE q.run_id = '{RUN_A}' AND q.entity_id = p.entity_id AND q.document_id = p.document_id AND q.mention_text = p.mention_text)""")
+def provenance_save_all(spark, d):
+    """The mentions of all other runs saved to a table that holds those of one."""
+    p = _Tables(spark, d).provenance
+    first = F.col("run_id").eqNullSafe(F.lit(RUN_A))
+    return mentions.save(p.where(~first), p.where(first)).select("entity_id", "document_id", "mention_text")
+
+
+@query("""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text, length(text) // 2 AS s FROM documents WHERE length(text) >= 2),
+b AS (SELECT *, s + 1 AS e, greatest(0, s - 100) AS a0, least(length(text), s + 101) AS b0 FROM t),
+l AS (SELECT *, strpos(substr(text, a0 + 1), ' ') + a0 - 1 AS sp, strpos(reverse(substr(text, e + 1, b0 - e)), ' ') AS back FROM b),
+k AS (SELECT *, CASE WHEN a0 > 0 AND sp >= a0 AND sp < s THEN sp + 1 ELSE a0 END AS a1, CASE WHEN b0 < length(text) AND back > 0 THEN b0 - back ELSE b0 END AS b1 FROM l)
+SELECT document_id, md5((CASE WHEN a1 > 0 THEN '...' ELSE '' END) || substr(text, a1 + 1, b1 - a1) || (CASE WHEN b1 < length(text) THEN '...' ELSE '' END)) AS snippet FROM k""")
+def context_snippet_all(spark, d):
+    """The text around the middle character of every document."""
+    t = _Tables(spark, d).documents.select(F.col("doc_id").cast("string").alias("document_id"), "text", F.expr("length(text) div 2").cast("int").alias("s")).where("length(text) >= 2")
+    return t.select("document_id", F.md5(c.snippet(F.col("text"), F.col("s"), F.col("s") + 1)).alias("snippet"))
