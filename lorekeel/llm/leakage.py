@@ -3,8 +3,9 @@
 Passages of the corpus are TF-IDF vectors over hashed terms. A randomised singular value decomposition
 of all passages is made in one pass: every task adds up its part of the product of the matrix, its transpose
 and a random matrix. Each term then has a vector in the latent space; a window of words is the sum of its
-terms. Windows of documents are compared by cosine with windows of the evaluation items (``Index``): those that share the signs
-of some latent coordinates are candidates, and what is as near as asked for goes on to a longest common subsequence.
+terms. Windows of documents are searched by cosine among the windows of the evaluation items, and what is as near as asked for goes
+on to a longest common subsequence. Equal windows are found by the signs of their latent coordinates (``Index``), near ones in cells
+of windows around a leader, of which only those are entered that may hold one near enough (``Cells``).
 
 * ``leaked_runs`` looks for runs of thirteen words. Any such run of a document holds a window of seven words that begins at a
   multiple of seven; term vectors are whole numbers, so it has exactly the vector of the same words of the item, and no run is lost.
@@ -35,7 +36,7 @@ PASSAGE = 32  # words of a passage
 RUN = 13
 WIDE, STEP = 24, 12
 COSINE = 0.8
-BANDS, SIGNS = 64, 10  # of the fuzzy search: so many sets of so many signs
+CELL = 0.95  # cosine of the vectors of a cell with its first one
 EXACT_BANDS, EXACT_SIGNS, EXACT_COSINE = 2, 24, 0.95  # of the search for equal words, whose vectors are equal
 PAIRS = 200_000  # pairs of windows compared in one go
 COMMON = 0.6
@@ -201,6 +202,49 @@ class Index:
         return i[first], j[first], c[first]
 
 
+class Cells:
+    """Unit vectors in cells, each around its first one; a search enters only cells that may hold what is near enough.
+
+    Angles obey the triangle inequality: what lies within an angle of a vector lies in a cell whose leader is no further than that
+    and the radius of the cell. So nothing near enough is missed.
+    """
+
+    def __init__(self, vectors: np.ndarray, cell: float = CELL) -> None:
+        self.unit = _unit(vectors)
+        of = np.full(len(self.unit), -1)
+        leaders = []
+        for i in range(len(of)):
+            if of[i] < 0:
+                near = self.unit @ self.unit[i]
+                near[i] = 1
+                of[(of < 0) & (near >= cell)] = len(leaders)
+                leaders.append(i)
+        self.leader = self.unit[leaders]
+        own = np.arccos(np.clip(np.einsum("ij,ij->i", self.unit, self.leader[of]) if len(of) else np.zeros(0), -1, 1))
+        self.radius = np.zeros(len(leaders))
+        np.maximum.at(self.radius, of, own)
+        self.members = np.argsort(of, kind="stable")
+        self.count = np.bincount(of, minlength=len(leaders)) if len(of) else np.zeros(0, np.int64)
+        self.first = np.cumsum(self.count) - self.count
+
+    def near(self, vectors: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in vectors, place among the held, cosine) of all pairs as near as asked for."""
+        unit = _unit(vectors)
+        reach = np.cos(np.minimum(np.arccos(min(cosine, 1.0)) + self.radius, np.pi)).astype(np.float32) - np.float32(1e-4)
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        for s in range(0, len(unit) if len(self.leader) else 0, 4096):
+            i, c = np.nonzero(unit[s : s + 4096] @ self.leader.T >= reach)
+            for a, b in bs.chunks(self.count[c].tolist(), PAIRS):
+                k = c[a:b]
+                x = np.repeat(i[a:b] + s, self.count[k])
+                y = self.members[np.repeat(self.first[k], self.count[k]) + bs.segment_ranges(self.count[k])]
+                near = np.einsum("ij,ij->i", unit[x], self.unit[y])
+                ok = near >= cosine - 1e-6
+                held.append((x[ok], y[ok], near[ok]))
+        i, j, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        return i, j, c
+
+
 def _items(items: DataFrame) -> Iterator[list[tuple[int, str, str]]]:
     rows = sorted(items.where("item_id is not null and prompt is not null").select("item_id", "prompt", "answer").distinct().collect())
     for i in range(0, len(rows), BLOCK):
@@ -311,14 +355,14 @@ def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = COSINE,
 def _paraphrased_block(documents: DataFrame, block: list[tuple[int, str, str]], cosine: float, common: float, space: Space) -> DataFrame:
     w, size = _scan([p for _, p, _ in block])
     item_sums = _sums(space, w)
-    asked: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, Index]] = {}
+    asked: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, Cells]] = {}
 
-    def of_items(width: int, whole: bool) -> tuple[np.ndarray, np.ndarray, Index]:
+    def of_items(width: int, whole: bool) -> tuple[np.ndarray, np.ndarray, Cells]:
         """The windows of prompts of a width; ``whole``: of the prompts that are no longer."""
         if (width, whole) not in asked:
             doc, first = spans(np.where(size == width, size, 0) if whole else size, width, max(1, width * STEP // WIDE // 2))
             first = first + (item_at - item_at_whole(width))[doc] if whole else first
-            asked[width, whole] = doc, first, Index(item_sums[first + width] - item_sums[first], BANDS, SIGNS)
+            asked[width, whole] = doc, first, Cells(item_sums[first + width] - item_sums[first])
         return asked[width, whole]
 
     item_at = np.cumsum(size) - size
@@ -338,7 +382,7 @@ def _paraphrased_block(documents: DataFrame, block: list[tuple[int, str, str]],
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, b in bs.chunks((len(t or "") + 1 for t in texts), 500_000):
                 words, n = _scan(texts[a:b])
-                start, sums = np.cumsum(n) - n, _sums(space, words)
+                start = np.cumsum(n) - n
                 for width in np.unique(np.minimum(np.concatenate((size, n)), WIDE)).tolist():
                     if not width:
                         continue
@@ -349,7 +393,7 @@ def _paraphrased_block(documents: DataFrame, block: list[tuple[int, str, str]],
                         doc, first, index = of_items(width, only)
                         if not len(of_d) or not len(doc):
                             continue
-                        i, j, near = index.near(sums[f[of_d] + width] - sums[f[of_d]], cosine)
+                        i, j, near = index.near(_vectors(space, words, f[of_d], width), cosine)
                         lcs = np.zeros(len(i), np.int64)
                         for k in range(0, len(i), 20_000):
                             x, y = first[j[k : k + 20_000]], f[of_d[i[k : k + 20_000]]]

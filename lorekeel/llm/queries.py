@@ -79,6 +79,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_million(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached by a mixture of a million tokens, to which sources give what they can within their caps."""
+    return mixing.mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"), 1_000_000)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose texts differ but look the same."""
     return lookalike.lookalike_pairs(read_table(spark, sf_dir, "documents"))

@@ -206,8 +206,8 @@ def test_paraphrase_recall_against_brute_force(spark):
     a, b = leakage._sums(space, w), leakage._sums(space, v)
     mine, item = b[g + 24] - b[g], a[f + 24] - a[f]
     near = leakage._unit(mine) @ leakage._unit(item).T >= 0.8
-    i, j, _ = leakage.Index(item, leakage.BANDS, leakage.SIGNS).near(mine, 0.8)
-    assert near[i, j].all() and len(i) >= 0.9 * near.sum() > 30
+    i, j, _ = leakage.Cells(item).near(mine, 0.8)
+    assert near[i, j].all() and len(set(zip(i.tolist(), j.tolist()))) == len(i) == near.sum() > 30
     # Without the latent space nothing is met.
     none = leakage.Space(np.zeros_like(space.terms), space.energy)
     assert rows(leakage.leaked_runs(d, q, space=none)) == []
@@ -228,3 +228,23 @@ def test_runs_of_thirteen_at_every_place(spark):
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
     q = spark.createDataFrame([(7, " ".join(prompt), ""), (8, "short", "x"), (9, None, None)], "item_id long, prompt string, answer string")
     assert set(rows(leakage.leaked_runs(d, q))) == set(want)
+
+
+def test_two_edits_far_apart_and_a_nickname_among_many(spark):
+    df = lambda *w: spark.createDataFrame([(x,) for x in w], "key string")
+    assert rows(names.similar_tokens(df("pexersbuxghers"), df("petersburghers", "pettersbergher"))) == [("pexersbuxghers", "petersburghers")]
+    e = [(f"s{i:03d}", f"Nam{i}el Smith", "person", None) for i in range(400)] + [("robert", "Robert Smith", "person", None), ("pb", "Petersburghers Union", "organization", None)]
+    e += [(f"r{i}", f"Robert Quin{i}tor", "person", None) for i in range(3)]
+    known = [(900 + i, f"r{i}", f"Bob Quin{i}tor") for i in range(3)]
+    mentions = ["bob smith", "Pexersbuxghers Union", "Bobb Smith", "Smith, Bob", "BobSmith", "Robert S mith", "Jane Smith"]
+    p = spark.createDataFrame([(i, None, m) for i, m in enumerate(mentions)] + known, P)
+    got = dict(rows(names.link_mentions(p, spark.createDataFrame(e, E), spark.createDataFrame([], "entity_id string, alias string"))))
+    assert got[0] == got[2] == got[3] == got[5] == "robert" and got[1] == "pb" and 6 not in got
+
+
+def test_long_tokens_and_strange_names_do_no_harm(spark):
+    e = [("1", "x" * 5000, "person", None), ("2", "Anna " * 30 + "Kolotir", "person", None), ("3", "", "person", None), ("4", "…", "organization", None)]
+    m = ["x" * 4999, "x" * 4990, "Anna " * 29 + "Kolotir", "", " ", "…", "A.", "퟿"]
+    p = spark.createDataFrame([(i, None, t) for i, t in enumerate(m)] + [(99, None, None)], P)
+    got = dict(rows(names.link_mentions(p, spark.createDataFrame(e, E), spark.createDataFrame([("1", None), ("9", "Nobody")], "entity_id string, alias string"))))
+    assert got.get(0) == "1" and 1 not in got and got.get(2) == "2"
