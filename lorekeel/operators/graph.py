@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeel.errors import EntityNotFound, ResolutionAmbiguous, RevisionNotFound, ValidationError
+from lorekeel.operators import ledger
 from lorekeel.session import persist_table
 
 EDGE_KEY = ("source_id", "target_id", "relation_type", "valid_from")
@@ -82,15 +83,16 @@ def subgraph(entities: DataFrame, aliases: DataFrame, relationships: DataFrame,
     nodes, met = k_hop(relationships, root, hops, least)
     names = aliases.groupBy("entity_id").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
     near = entities.join(F.broadcast(nodes) if hops == 0 else nodes, "entity_id").join(names, "entity_id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
-    at = lambda *c: F.row_number().over(Window.orderBy(*c))
-    near = near.select(at(F.col("entity_id") != root, "canonical_name", "entity_id").alias("position"), "entity_id", "canonical_name", "entity_type", "subtype", "description", "aliases", "status", "depth")
+    # Positions over all rows, not by a window over all of them: a hub has any number of neighbours.
+    at = lambda df, *order: ledger.numbered(df, list(order), "position").withColumn("position", F.col("position").cast("int"))
+    near = at(near.withColumn("_other", F.col("entity_id") != root), "_other", "canonical_name", "entity_id").select("position", "entity_id", "canonical_name", "entity_type", "subtype", "description", "aliases", "status", "depth")
     cond = F.lit(True)
     for c in EDGE_KEY:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
     keys = met.select(*[F.col(c).alias(f"_{c}") for c in EDGE_KEY])
     rows = relationships.where(F.col("confidence") >= least) if least is not None else relationships
     edges = dedup_edges(rows.join(keys, cond, "left_semi"))
-    edges = edges.withColumn("position", at("source_id", "target_id", "relation_type", F.col("valid_from").asc_nulls_first()))
+    edges = persist_table(at(edges, *EDGE_KEY), "edges")
     return near, edges, edges.where("document_id is not null").select("document_id").distinct()
 
 
@@ -107,10 +109,9 @@ def revisions(snapshots: DataFrame) -> DataFrame:
     status is merged where the one before was not merges it.
     """
     s = snapshots.dropDuplicates(["snapshot_id"]).withColumnRenamed("snapshot_id", "history_id").withColumnRenamed("snapshot_at", "changed_at")
-    w = Window.partitionBy("entity_id").orderBy("history_id")
-    before = F.lag("status").over(w)
-    op = F.when(F.row_number().over(w) == 1, "create").when((F.col("status") == "merged") & ~before.eqNullSafe(F.lit("merged")), "merge").otherwise("update")
-    return s.withColumn("operation", op)
+    rows = ledger.with_previous(s.where("entity_id is not null"), "entity_id", "history_id", "status")
+    op = F.when(F.col("is_first"), "create").when((F.col("status") == "merged") & ~F.col("previous_value").eqNullSafe(F.lit("merged")), "merge").otherwise("update")
+    return rows.withColumn("operation", op).drop("previous_value", "is_first")
 
 
 def state_at(log: DataFrame, moment: Column) -> DataFrame:

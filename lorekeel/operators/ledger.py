@@ -6,10 +6,13 @@ the map side. So no row is ever changed in place, and a job that is repeated cha
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from lorekeel.errors import RunNotFound
 from lorekeel.schemas import RUN_STATUSES
@@ -87,6 +90,46 @@ def numbered(rows: DataFrame, order: Sequence[str], name: str, first: Column | i
     return local.join(F.broadcast(before), part == F.col("_part")).withColumn(name, start + F.col("_before") + at).drop("_id", "_part", "_before")
 
 
+def with_previous(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """``rows`` with previous_value (of the row before in its key, NULL if there is none) and is_first; strings, none NULL but the value.
+
+    Rows are sorted by ranges of key and order, so a key with any number of rows spans many tasks; only the last row of each task
+    travels to the next one.
+    """
+    spark = rows.sparkSession
+    order_ = rows.repartitionByRange(key, order).sortWithinPartitions(key, order)
+    schema = StructType([*rows.schema.fields, StructField("_part", IntegerType()), StructField("_lead", BooleanType()), StructField("_tail", BooleanType()), StructField("previous_value", StringType()), StructField("is_first", BooleanType())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, held = TaskContext.get().partitionId(), None, None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield held(False)
+            k, v = batch.column(key).to_pylist(), batch.column(value).to_pylist()
+            before = [last, *zip(k, v, strict=True)][:-1]
+            first = [b is None or b[0] != x for b, x in zip(before, k, strict=True)]
+            prev = [None if f else b[1] for f, b in zip(first, before, strict=True)]
+            lead = [last is None, *[False] * (batch.num_rows - 1)]
+            last = (k[-1], v[-1])
+
+            def held(end: bool, batch=batch, lead=lead, prev=prev, first=first) -> pa.RecordBatch:
+                n = batch.num_rows
+                more = [pa.array([part] * n, pa.int32()), pa.array(lead), pa.array([*[False] * (n - 1), end]), pa.array(prev, pa.string()), pa.array(first)]
+                return pa.RecordBatch.from_arrays([*batch.columns, *more], [f.name for f in schema.fields])
+
+        if held is not None:
+            yield held(True)
+
+    done = persist_table(order_.mapInArrow(run, schema), "previous")
+    ends = sorted(done.where("_tail").select("_part", key, value).collect())
+    fixes = spark.createDataFrame([(b[0], a[1], a[2]) for a, b in zip(ends, ends[1:], strict=False)], "_of int, _key string, _value string")
+    out = done.join(F.broadcast(fixes), (F.col("_part") == F.col("_of")) & F.col("_lead") & (F.col(key) == F.col("_key")), "left")
+    known = F.col("_of").isNotNull()
+    return out.withColumn("previous_value", F.when(known, F.col("_value")).otherwise(F.col("previous_value"))).withColumn("is_first", F.col("is_first") & ~known).drop("_part", "_lead", "_tail", "_of", "_key", "_value")
+
+
 def appended(log: DataFrame, records: DataFrame, operation: str, changed_at: Column, order: Sequence[str]) -> DataFrame:
     """New revisions of records for a log (history_id, changed_at, operation, the record): numbers go on from the last one."""
     top = log.agg(F.coalesce(F.max("history_id"), F.lit(0)).alias("_top"))

@@ -36,10 +36,15 @@ def relationships(rows: DataFrame) -> DataFrame:
 
 
 def united_aliases(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key, the first in order, with the aliases of all rows in order of first sight."""
-    first = F.min(F.struct(order, "canonical_name")).alias("f")
-    lists = F.transform(F.array_sort(F.collect_list(F.struct(order, "aliases"))), lambda x: x["aliases"])
-    return rows.groupBy(key).agg(first, F.array_distinct(F.flatten(lists)).alias("aliases")).select(key, "f.canonical_name", "aliases")
+    """One row for each key, the first in order, with the aliases of all rows in order of first sight.
+
+    Each alias of a key is one row before they come together, so what is collected is a set of aliases, not the rows of a key.
+    """
+    first = rows.groupBy(key).agg(F.min(F.struct(order, "canonical_name")).alias("f"))
+    each = rows.select(key, order, F.posexplode("aliases").alias("_at", "alias")).groupBy(key, "alias").agg(F.min(F.struct(order, "_at")).alias("seen"))
+    lists = each.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("seen", "alias"))).alias("l"))
+    both = first.join(lists, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return both.select(key, "f.canonical_name", F.coalesce(F.col("l.alias"), F.array().cast("array<string>")).alias("aliases"))
 
 
 def seed_import(seed: DataFrame, held: DataFrame, order: str = "seed_id") -> DataFrame:

@@ -409,8 +409,8 @@ FROM (SELECT DISTINCT * FROM entity_snapshots) s WINDOW w AS (PARTITION BY entit
 
 @query(f"SELECT history_id, operation, epoch_us(snapshot_at) AS changed_us, canonical_name, status FROM {_LOG} WHERE entity_id = '{HOT}'")
 def entity_history(spark, d):
-    log = graph.revisions(_Tables(spark, d).entity_snapshots)
-    return log.where(F.col("entity_id") == HOT).select("history_id", "operation", c.micros("changed_at").alias("changed_us"), "canonical_name", "status")
+    log = graph.revisions(_Tables(spark, d).entity_snapshots.where(F.col("entity_id") == HOT))
+    return log.select("history_id", "operation", c.micros("changed_at").alias("changed_us"), "canonical_name", "status")
 
 
 @query(f"SELECT entity_id, max(history_id) AS history_id, max_by(canonical_name, history_id) AS canonical_name, max_by(operation, history_id) AS operation FROM {_LOG} WHERE snapshot_at <= {_TS} GROUP BY 1")

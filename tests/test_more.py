@@ -39,6 +39,18 @@ def test_numbers_are_consecutive_over_tasks(spark):
     assert ledger.numbered(df.limit(0), ["v"], "n").count() == 0
 
 
+def test_rows_before_over_tasks(spark):
+    r = random.Random(2)
+    data = [("hot" if r.random() < 0.5 else f"k{r.randrange(9)}", i, r.choice(["a", "b", None])) for i in range(400)]
+    df = spark.createDataFrame(r.sample(data, 400), "k string, n long, v string").repartition(6)
+    last, want = {}, []
+    for k, n, v in data:
+        want.append((k, n, v, last.get(k, (None,))[0], k not in last))
+        last[k] = (v,)
+    got = [tuple(x) for x in ledger.with_previous(df, "k", "n", "v").orderBy("n").collect()]
+    assert got == want and ledger.with_previous(df.limit(0), "k", "n", "v").count() == 0
+
+
 def test_aliases_are_synced(spark):
     held = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], schemas.ALIAS)
     new = spark.createDataFrame([("2", ["x", None, "x", "B"]), ("3", [])], "entity_id string, aliases array<string>")
