@@ -212,7 +212,9 @@ class Cells:
     def __init__(self, vectors: np.ndarray, cell: float = CELL) -> None:
         self.unit = _unit(vectors)
         of = np.full(len(self.unit), -1)
-        leaders = []
+        leaders: list[int] = []
+        if cell >= 1:  # every vector leads itself
+            of, leaders = np.arange(len(of)), list(range(len(of)))
         for i in range(len(of)):
             if of[i] < 0:
                 near = self.unit @ self.unit[i]
@@ -323,15 +325,22 @@ def aligned(size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lcs_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of rows of two arrays of words."""
+    """Lengths of the longest common subsequences of rows of two arrays of words; those of ``x`` have 63 words at most.
+
+    A row of the usual table is kept as bits, set where it does not rise: a word of ``y`` moves them all by one addition.
+    """
     n, a = x.shape
-    table = np.zeros((n, y.shape[1] + 1), np.int16)
-    for i in range(a):
-        prev = table.copy()
-        hit = y == x[:, i : i + 1]
-        for j in range(y.shape[1]):
-            table[:, j + 1] = np.where(hit[:, j], prev[:, j] + 1, np.maximum(prev[:, j + 1], table[:, j]))
-    return table[:, -1].astype(np.int64)
+    if a > 63:
+        raise ValueError("more than 63 words")
+    full = np.uint64((1 << a) - 1)
+    level = np.full(n, full)
+    place = np.zeros((n, 8), np.uint8)
+    for j in range(y.shape[1]):
+        bits = np.packbits(x == y[:, j : j + 1], axis=1, bitorder="little")
+        place[:, : bits.shape[1]] = bits
+        hit = level & place.view(np.uint64)[:, 0]
+        level = ((level + hit) | (level - hit)) & full
+    return a - np.bitwise_count(level).astype(np.int64)
 
 
 def paraphrases(documents: DataFrame, items: DataFrame, cosine: float = COSINE, common: float = COMMON, space: Space | None = None) -> DataFrame:
@@ -362,7 +371,7 @@ def _paraphrased_block(documents: DataFrame, block: list[tuple[int, str, str]],
         if (width, whole) not in asked:
             doc, first = spans(np.where(size == width, size, 0) if whole else size, width, max(1, width * STEP // WIDE // 2))
             first = first + (item_at - item_at_whole(width))[doc] if whole else first
-            asked[width, whole] = doc, first, Cells(item_sums[first + width] - item_sums[first])
+            asked[width, whole] = doc, first, Cells(item_sums[first + width] - item_sums[first], CELL if width == WIDE else 1.0)  # short texts are few
         return asked[width, whole]
 
     item_at = np.cumsum(size) - size

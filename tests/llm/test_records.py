@@ -248,3 +248,15 @@ def test_long_tokens_and_strange_names_do_no_harm(spark):
     p = spark.createDataFrame([(i, None, t) for i, t in enumerate(m)] + [(99, None, None)], P)
     got = dict(rows(names.link_mentions(p, spark.createDataFrame(e, E), spark.createDataFrame([("1", None), ("9", "Nobody")], "entity_id string, alias string"))))
     assert got.get(0) == "1" and 1 not in got and got.get(2) == "2"
+
+
+def test_common_subsequences_against_the_table():
+    g = np.random.default_rng(1)
+    for a, b in ((1, 1), (7, 19), (24, 24), (63, 30)):
+        x, y = g.integers(0, 6, (40, a)).astype(np.uint64), g.integers(0, 6, (40, b)).astype(np.uint64)
+        for k, n in enumerate(leakage.lcs_lengths(x, y).tolist()):
+            t = [[0] * (b + 1) for _ in range(a + 1)]
+            for i in range(a):
+                for j in range(b):
+                    t[i + 1][j + 1] = t[i][j] + 1 if x[k, i] == y[k, j] else max(t[i][j + 1], t[i + 1][j])
+            assert n == t[a][b]
