@@ -182,3 +182,11 @@ def article_scores(found: DataFrame, expected: DataFrame, article: str, *key: st
     one = f.join(e, on, "full").groupBy(article).agg(n(F.col("_f").isNotNull() & F.col("_e").isNotNull()).alias("tp"), n(F.col("_e").isNull()).alias("fp"), n(F.col("_f").isNull()).alias("fn"))
     ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
     return one.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """One row for a run from the results of its documents (status: done, skipped or failed; mentions, proposals, relationships): how many of
+    each status, and the sums over those that were not skipped; 0 for an empty run."""
+    n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("status") != "skipped", F.col(c))), F.lit(0)).cast("long").alias(c)
+    return results.agg(n("done"), n("skipped"), n("failed"), total("mentions"), total("proposals"), total("relationships"))

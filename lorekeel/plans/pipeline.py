@@ -66,7 +66,10 @@ def ingest(documents: DataFrame, entities: DataFrame, aliases: DataFrame, held:
 
 def ask_model(chunk_rows: DataFrame, make: Callable[[], responses.Provider], attempts: int = 2) -> DataFrame:
     """(chunk_id, resolved, proposals, error): the answers of a provider made in each task, checked; a chunk that fails has an
-    error and spoils no other. ``chunk_rows``: chunk_id, text, candidate_ids, block (see the budget module)."""
+    error and spoils no other. ``chunk_rows``: chunk_id, text, candidate_ids, block (see the budget module), and if there is one,
+    before: what was resolved in earlier chunks, as lines. A chunk with no candidates has nothing to be resolved and is not asked."""
+    if "before" not in chunk_rows.columns:
+        chunk_rows = chunk_rows.withColumn("before", F.lit(None).cast("string"))
     item = "struct<surface_form: string, context_snippet: string, entity_id: string>"
     new = "struct<surface_form: string, context_snippet: string, canonical_name: string, entity_type: string, subtype: string, description: string, aliases: array<string>>"
     schema = f"chunk_id string, resolved array<{item}>, proposals array<{new}>, error string, input_tokens long, output_tokens long"
@@ -75,9 +78,13 @@ def ask_model(chunk_rows: DataFrame, make: Callable[[], responses.Provider], att
         provider = make()
         for batch in it:
             rows = []
-            for k, text, ids, block in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "text", "candidate_ids", "block")), strict=True):
+            for k, text, ids, block, before in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "text", "candidate_ids", "block", "before")), strict=True):
+                if not ids:
+                    rows.append({"chunk_id": k, "resolved": [], "proposals": [], "error": None, "input_tokens": 0, "output_tokens": 0})
+                    continue
                 try:
-                    (resolved, proposals), used = responses.ask(provider, f"{block or ''}\n{text}", lambda t, ids=ids: responses.check_entities(t, ids or []), attempts, SYSTEM)
+                    question = budget.first_question("\n\n".join(x for x in (block, before) if x), text or "")
+                    (resolved, proposals), used = responses.ask(provider, question, lambda t, ids=ids: responses.check_entities(t, ids), attempts, SYSTEM)
                     rows.append({"chunk_id": k, "resolved": resolved, "proposals": proposals, "error": None, "input_tokens": used.input_tokens, "output_tokens": used.output_tokens})
                 except (responses.ResponseError, responses.ProviderError) as e:
                     rows.append({"chunk_id": k, "resolved": [], "proposals": [], "error": str(e), "input_tokens": 0, "output_tokens": 0})
@@ -86,7 +93,7 @@ def ask_model(chunk_rows: DataFrame, make: Callable[[], responses.Provider], att
             names = ["chunk_id", "resolved", "proposals", "error", "input_tokens", "output_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names)
 
-    return chunk_rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text", "candidate_ids", "block").mapInArrow(run, schema)
+    return chunk_rows.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text", "candidate_ids", "block", "before").mapInArrow(run, schema)
 
 
 def model_input(chunk_rows: DataFrame, entities: DataFrame, tokens: int) -> DataFrame:

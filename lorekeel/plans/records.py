@@ -317,3 +317,20 @@ def context_snippet_all(spark, d):
     """The text around the middle character of every document."""
     t = _Tables(spark, d).documents.select(F.col("doc_id").cast("string").alias("document_id"), "text", F.expr("length(text) div 2").cast("int").alias("s")).where("length(text) >= 2")
     return t.select("document_id", F.md5(c.snippet(F.col("text"), F.col("s"), F.col("s") + 1)).alias("snippet"))
+
+
+@query(f"""WITH p AS (SELECT document_id, count(*) AS mentions, count(*) FILTER (entity_id IS NULL) AS proposals FROM provenance WHERE document_id IS NOT NULL GROUP BY 1),
+r AS (SELECT document_id, count(*) AS relationships FROM relationships GROUP BY 1),
+f AS (SELECT DISTINCT document_id FROM provenance JOIN ingestion_runs USING (run_id) WHERE status = 'failed'),
+x AS (SELECT p.*, coalesce(relationships, 0) AS relationships, CASE WHEN p.document_id IN (SELECT document_id FROM f) THEN 'failed' WHEN mentions = 1 THEN 'skipped' ELSE 'done' END AS status FROM p LEFT JOIN r USING (document_id))
+SELECT count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed,
+CAST(coalesce(sum(mentions) FILTER (status <> 'skipped'), 0) AS BIGINT) AS mentions, CAST(coalesce(sum(proposals) FILTER (status <> 'skipped'), 0) AS BIGINT) AS proposals, CAST(coalesce(sum(relationships) FILTER (status <> 'skipped'), 0) AS BIGINT) AS relationships FROM x""")
+def run_totals(spark, d):
+    """All documents as the results of one run: those of failed runs failed, those with a single mention were skipped."""
+    t = _Tables(spark, d)
+    p = t.provenance.where("document_id is not null")
+    n = p.groupBy("document_id").agg(F.count(F.lit(1)).alias("mentions"), F.count(F.when(F.col("entity_id").isNull(), 1)).alias("proposals"))
+    r = t.relationships.groupBy("document_id").agg(F.count(F.lit(1)).alias("relationships"))
+    bad = p.join(t.ingestion_runs.where("status = 'failed'").select("run_id"), "run_id", "left_semi").select("document_id", F.lit(True).alias("bad")).distinct()
+    rows = n.join(r, "document_id", "left").join(bad, "document_id", "left").na.fill(0, ["relationships"])
+    return merging.run_totals(rows.withColumn("status", F.when(F.col("bad"), "failed").when(F.col("mentions") == 1, "skipped").otherwise("done")))

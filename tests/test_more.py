@@ -264,3 +264,30 @@ def test_documents_for_others(spark, tmp_path):
     assert json.loads(sinks.indented(e)) == [{"entity_id": "2", "name": 'B"'}, {"entity_id": "1", "name": "A"}, {"entity_id": "1", "name": "A"}] and "\n  " in sinks.indented(e)
     with pytest.raises(ValueError):
         sinks.indented(e, 2)
+
+
+def test_queries_of_records_on_empty_tables(spark, tmp_path):
+    from lorekeel.plans import catalogue, records
+
+    for n in ("articles", "entities", "entity_aliases", "entity_snapshots", "provenance", "relationships", "ingestion_runs", "documents"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").limit(0).write.parquet(str(tmp_path / f"{n}.parquet"))
+    names = [k for k, f in catalogue.queries().items() if f.__module__ == records.__name__]
+    assert len(names) > 30
+    for name in names:
+        catalogue.queries()[name](spark, str(tmp_path)).collect()
+
+
+def test_totals_and_the_resolver_that_has_nothing_to_ask(spark):
+    from lorekeel.plans import pipeline
+
+    r = spark.createDataFrame([("done", 3, 1, 2), ("skipped", 9, 9, 9), ("failed", 1, 0, 0)], "status string, mentions long, proposals long, relationships long")
+    assert rows(merging.run_totals(r)) == [(1, 1, 1, 4, 1, 2)] and rows(merging.run_totals(r.limit(0))) == [(0, 0, 0, 0, 0, 0)]
+
+    class Echo(responses.Scripted):
+        def generate(self, prompt, system=""):
+            assert "PREVIOUSLY" in prompt and prompt.endswith("TEXT:\nt")
+            return json.dumps({"entities": []}), responses.Usage(1, 1)
+
+    c = spark.createDataFrame([("1", "t", ["x"], "b", "PREVIOUSLY ..."), ("2", "t", [], None, None), ("3", "t", None, None, None)], "chunk_id string, text string, candidate_ids array<string>, block string, before string")
+    got = {x["chunk_id"]: (x["error"], x["input_tokens"]) for x in pipeline.ask_model(c, Echo).collect()}
+    assert got == {"1": (None, 1), "2": (None, 0), "3": (None, 0)}
