@@ -16,9 +16,12 @@ from lorekeel.functions.columns import word_tokens
 ATX = r"(?U)^(#{1,6})\s+(.+?)\s*#*\s*$"
 SETEXT = r"(?U)^\s*(=|-)\1{2,}\s*$"
 ITEM = r"(?Ui)^\s*ITEM\s+(\d+[A-Za-z]?)\.?\s*(.*?)\s*$"
-SPEAKER = r"(?U)^([A-Z][\w.'-]*(?:\s+[A-Z][\w.'-]*){0,4}(?:\s*-\s*[A-Z][\w\s.,&'-]*?)?)\s*:\s*(.*)$"
 DIVIDERS = ("q&a", "qa", "questions and answers", "question and answer session", "question-and-answer session")
 LONGEST_HEADING = 200
+# A speaker's label is what stands before the first colon of a line: one to five capitalized words, and after a dash, if there is
+# one, where they are from.
+_CAPITALIZED = r"[A-Z][\w.'-]*"
+LABEL = rf"(?U)^{_CAPITALIZED}(\s+{_CAPITALIZED}){{0,4}}(\s*-\s*[A-Z][\w\s.,&'-]*)?\s*$"
 OVERLAP = 0.15
 
 BLANK = r"(?U)^\s*$"
@@ -95,9 +98,10 @@ def transcripts(documents: DataFrame) -> DataFrame:
     until the next label."""
     line = F.col("line")
     divider = F.lower(stripped(line)).isin(*DIVIDERS)
-    label = ~divider & line.rlike(SPEAKER)
-    name = F.when(divider, "Q&A").when(label, stripped(F.regexp_extract(line, SPEAKER, 1)))
-    text = F.when(divider, F.lit(None)).when(label, F.nullif(F.regexp_extract(line, SPEAKER, 2), F.lit(""))).otherwise(line)
+    head, said = F.substring_index(line, ":", 1), F.substring(line, F.instr(line, ":") + 1, F.length(line))
+    label = ~divider & F.contains(line, F.lit(":")) & head.rlike(LABEL)
+    name = F.when(divider, "Q&A").when(label, stripped(head))
+    text = F.when(divider, F.lit(None)).when(label, F.nullif(F.regexp_replace(said, r"(?U)^\s+", ""), F.lit(""))).otherwise(line)
     w = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = _lines(documents).select("document_id", "pos", name.alias("name"), text.alias("line"), divider.alias("divider"))
     rows = rows.withColumn("mute", F.last(F.when(F.col("name").isNotNull(), F.col("divider")), ignorenulls=True).over(w))
