@@ -124,6 +124,35 @@ def _by_automaton(texts: DataFrame, known: list[str]) -> DataFrame:
     return texts.mapInArrow(run, "document_id string, alias string, span_start int, span_end int")
 
 
+def snippet_of(text: str, start: int, end: int, window: int) -> str:
+    """The text around [start, end) as ``functions.columns.snippet`` has it."""
+    a, b = max(0, start - window), min(len(text), end + window)
+    blank, last = text.find(" ", a, start), text.rfind(" ", end, b)
+    left = blank + 1 if a > 0 and blank >= 0 else a
+    right = last if b < len(text) and last >= 0 else b
+    return ("..." if left > 0 else "") + text[left:right] + ("..." if right < len(text) else "")
+
+
+def detect_with_snippets(documents: DataFrame, d: DataFrame, window: int = 100, most: int = AUTOMATON_ALIASES) -> DataFrame:
+    """Occurrences as ``detect`` finds them, with the text around each; up to ``most`` aliases no text is shuffled for it."""
+    d = d.where("trim(alias) != ''")
+    known = [r[0] for r in d.select("alias").distinct().limit(most + 1).collect()]
+    if len(known) > most:
+        return with_snippets(detect_by_join(documents, d), documents, window)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Automaton(known)
+        for batch in it:
+            out: list[tuple] = []
+            for doc, low, text in zip(*(batch.column(c).to_pylist() for c in ("document_id", "low", "text")), strict=True):
+                out += [(doc, a, s, e, snippet_of(text, s, e, window)) for a, s, e in machine.spans(low)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["document_id", "alias", "span_start", "span_end", "context_snippet"])
+
+    src = documents.where("text is not null and document_id is not null").select(F.col("document_id").cast("string").alias("document_id"), F.lower("text").alias("low"), "text")
+    return src.mapInArrow(run, "document_id string, alias string, span_start int, span_end int, context_snippet string")
+
+
 def no_mentions(documents: DataFrame) -> DataFrame:
     """The detector that finds nothing."""
     return documents.sparkSession.createDataFrame([], schemas.MENTION)

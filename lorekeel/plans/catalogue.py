@@ -851,8 +851,8 @@ SELECT document_id, alias, span_start, span_end, entity_id, (CASE WHEN a1 > 0 TH
 def mention_snippets(spark, d):
     """Resolved occurrences with the text around them."""
     t = _Tables(spark, d)
-    found = detection.resolved(detection.detect(_docs(t), _dictionary(t)), _dictionary(t))
-    return detection.with_snippets(found, _docs(t)).select("document_id", "alias", "span_start", "span_end", "entity_id", "context_snippet")
+    found = detection.resolved(detection.detect_with_snippets(_docs(t), _dictionary(t)), _dictionary(t))
+    return found.select("document_id", "alias", "span_start", "span_end", "entity_id", "context_snippet")
 
 
 @query("""WITH h AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text, strpos(text, 'percent') - 1 AS s FROM documents WHERE contains(text, 'percent')),

@@ -46,14 +46,14 @@ def ingest(documents: DataFrame, entities: DataFrame, aliases: DataFrame, held:
     """Mentions of active entities in documents (document_id, text, doc_type, source)."""
     docs = documents.withColumn("document_id", hex_id(F.col("document_id").cast("string")))
     if not reprocess:
-        docs = ar.unprocessed(docs, held)
+        docs = persist_table(ar.unprocessed(docs, held), "unprocessed")  # each segmenter reads it
     # Cut once: words, texts and snippets all read the pieces.
     pieces = persist_table(chunks(docs.select("document_id", "text", "doc_type")).select("document_id", "chunk_index", "text"), "pieces")
     key = F.concat_ws("#", "document_id", F.col("chunk_index").cast("string"))
     texts = pieces.where("text != ''").select(key.alias("document_id"), "text")
-    known = detection.dictionary(entities.where("status = 'active'"), aliases)
-    found = persist_table(detection.detect(texts, known), "occurrences")
-    sure = detection.with_snippets(detection.resolved(found, known), texts)
+    known = persist_table(detection.dictionary(entities.where("status = 'active'"), aliases), "dictionary")
+    found = persist_table(detection.detect_with_snippets(texts, known), "occurrences")
+    sure = detection.resolved(found, known)
     doc = F.substring_index("document_id", "#", 1)
     source = docs.select(F.col("document_id").alias("_d"), "source")
     rows = sure.select("entity_id", doc.alias("document_id"), F.col("alias").alias("mention_text"), "context_snippet")

@@ -165,6 +165,9 @@ def test_both_plans_of_the_dictionary_agree(spark):
     d = spark.createDataFrame([(w.lower(), str(i)) for i, w in enumerate([*words, " "])], "alias string, entity_id string")
     docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "document_id string, text string")
     one, other = rows(detection.detect(docs, d)), rows(detection.detect(docs, d, most=2))
+    for window in (5, 20, 100):
+        near = rows(detection.detect_with_snippets(docs, d, window))
+        assert near == rows(detection.detect_with_snippets(docs, d, window, most=2)) and [x[:4] for x in near] == one
     assert one == other == rows(detection.detect_by_join(docs, d)) and len(one) > 50 and any(x[1] == "$$" for x in one)
 
 
