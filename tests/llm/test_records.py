@@ -3,8 +3,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lorekeel.llm import groups, leakage, lookalike, mixing, names
+from lorekeel.llm import groups, leakage, lookalike, mixing, namejoin, names
 from tests.conftest import rows
 
 E = "entity_id string, canonical_name string, entity_type string, merged_into string"
@@ -260,3 +261,20 @@ def test_common_subsequences_against_the_table():
                 for j in range(b):
                     t[i + 1][j + 1] = t[i][j] + 1 if x[k, i] == y[k, j] else max(t[i][j + 1], t[i + 1][j])
             assert n == t[a][b]
+
+
+def test_a_mention_does_not_carry_the_partners_of_its_tokens(spark, monkeypatch):
+    sent, real = [], namejoin.candidates
+
+    def candidates(asked, *rest):
+        sent.append(asked.agg(F.sum(sum(F.length(c) for c in asked.columns if c != "bucket"))).first()[0])
+        return real(asked, *rest)
+
+    monkeypatch.setattr(namejoin, "candidates", candidates)
+    for many in (5, 300):  # short forms of one word, each attested by two names
+        e = [(f"{x}{i}", f"{w}{i} Incorporated", "organization", None) for i in range(300) for x, w in (("a", "Kolomir"), ("b", "Tavendor"))]
+        aliases = [(f"{x}{i}", f"{w}{i} Qz{i}vek") for i in range(many) for x, w in (("a", "Kolomir"), ("b", "Tavendor"))]
+        p = spark.createDataFrame([(0, None, "Incorporated Kolomir3"), (1, None, "Tavendor2 qz4vek"), (2, None, "Kolomir1 qz1vek")], P)
+        got = dict(rows(names.link_mentions(p, spark.createDataFrame(e, E), spark.createDataFrame(aliases, "entity_id string, alias string"))))
+        assert got == {0: "a3", 1: "b2", 2: "a1"}
+    assert sent[1] < 1.2 * sent[0]
