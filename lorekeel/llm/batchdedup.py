@@ -1,6 +1,9 @@
-"""Problem 4: each new batch against all history, by immutable suffix arrays merged logarithmically.
+"""Problem 4: each new batch against all history.
 
-The text is the stories of a batch, one word after the other. A suffix is told by the hashes of its first 5, 8 and 16 words in one
+``first_known`` takes every pair that reaches the similarity, from the exact overlap join of ``neardup``, and of those the earliest.
+
+``HistoryIndex`` finds candidates by immutable suffix arrays merged logarithmically, which is not exact: it samples suffixes, links each to
+the first and last record of its longest match only, and asks for a share of all words. The text is the stories of a batch, one word after the other. A suffix is told by the hashes of its first 5, 8 and 16 words in one
 number, so that suffixes in the order of these numbers stand beside those they share most words with. An array is the suffixes
 of one or more batches in that order and never changes; a batch's own suffixes are looked up in every array by binary search,
 at 16 words first, then 8, then 5, so each finds its longest match; arrays of like size are merged, so there are
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeel.llm import blobs, stories
+from lorekeel.llm import blobs, neardup, stories
 from lorekeel.llm import bytescan as bs
 from lorekeel.session import persist_table
 
@@ -296,16 +299,14 @@ def first_known(articles: DataFrame) -> DataFrame:
     """(document_id, first_document_id): each article that an earlier one is near to, and the earliest such.
 
     Order is (scraped_at, document_id), NULL scraped_at last. Articles of equal stories are one class told
-    by its earliest member, so copies cost one row each. Links between classes form groups; as within a
-    group all pairs are pairs, a record's first article is the first of its group, and that pair is checked
-    exactly as well: where the check fails, the earliest article linked directly is taken.
+    by its earliest member, so copies cost one row each. Every pair of classes that reaches the similarity counts by itself:
+    near to near is not taken for near.
     """
     s = stories.story_words(articles)
     c = stories.classes(s).withColumn("at", F.coalesce("scraped_at", F.lit(1 << 62)))
-    found = persist_table(covered_pairs(c), "batch-candidates")
-    linked = persist_table(stories.verified(found, c).select("a", "b"), "batch-links")
-    spark = articles.sparkSession
-    return _answers(s, c, _earliest(spark, linked, c))
+    linked = persist_table(neardup.similar_classes(c).select("a", "b"), "batch-links")
+    first = _direct(linked, c).select("a", F.col("o.id").alias("document_id"))
+    return _answers(s, c, first)
 
 
 def _answers(s: DataFrame, c: DataFrame, first: DataFrame) -> DataFrame:
@@ -320,14 +321,19 @@ def _answers(s: DataFrame, c: DataFrame, first: DataFrame) -> DataFrame:
     return out.select("document_id", answer.alias("first_document_id")).where("first_document_id is not null")
 
 
-def _earliest(spark: SparkSession, linked: DataFrame, c: DataFrame) -> DataFrame:
-    """(a, document_id): for each linked class its earliest partner, following links of links."""
+def _direct(linked: DataFrame, c: DataFrame) -> DataFrame:
+    """(a, o): for each linked class that has an earlier partner the earliest of them, as (at, id, rid)."""
     when = c.select(F.col("rid"), F.struct("at", F.coalesce("document_id", F.lit("")).alias("id"), "rid").alias("o"))
     # Both ends are classes in verified links: few, but not bounded, so they are joined, not collected.
     both = linked.join(when.select(F.col("rid").alias("a"), F.col("o").alias("oa")), "a").join(when.select(F.col("rid").alias("b"), F.col("o").alias("ob")), "b")
     flip = F.col("oa") < F.col("ob")
     both = both.select(F.when(flip, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(flip, F.col("oa")).otherwise(F.col("ob")).alias("o"))
-    direct = persist_table(both.groupBy("a").agg(F.min("o").alias("o")), "batch-first")
+    return both.groupBy("a").agg(F.min("o").alias("o"))
+
+
+def _earliest(spark: SparkSession, linked: DataFrame, c: DataFrame) -> DataFrame:
+    """(a, document_id): for each linked class its earliest partner, following links of links."""
+    direct = persist_table(_direct(linked, c), "batch-first")
     now = direct
     while True:
         up = now.select(F.col("a").alias("x"), F.col("o").alias("up"))

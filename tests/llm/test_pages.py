@@ -218,3 +218,15 @@ def test_batches_find_scattered_edits(spark, every):
     near = {(2 * k, 2 * k + 1) for k in range(200) for a, b in ((grams(made[2 * k][1]), grams(made[2 * k + 1][1])),) if len(a & b) >= 0.5 * len(a | b)}
     assert near <= found and len(near) > 60
     assert len(found - {(2 * k, 2 * k + 1) for k in range(200)}) < 10
+
+
+def test_first_known_finds_pairs_that_share_few_of_their_words(spark, monkeypatch):
+    """Stories that differ in a long run of the same words, so that most runs of three words but few words are shared."""
+    r = random.Random(3)
+    new = lambda n: [r.randrange(1 << 32) for _ in range(n)]
+    same, other = new(100), new(100)
+    told = [same + new(3) * 400, other + new(3) * 300, same + new(3) * 500, new(80), other + new(3) * 400]
+    made = [(i, f"{i:03d}", i, str(i).encode(), np.array(t, np.uint32).tobytes()) for i, t in enumerate(told)]
+    table = spark.createDataFrame(made, "rid long, document_id string, scraped_at long, key binary, words binary")
+    monkeypatch.setattr(stories, "story_words", lambda x: x)
+    assert rows(batchdedup.first_known(table)) == [("002", "000"), ("004", "001")]
